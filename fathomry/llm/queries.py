@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .near import op6_minmax_near_duplicates
+from .packing import op7_pattern_packing
 from .token_files import op4_token_files
 
 QUERIES = {
     "op4_token_files": op4_token_files,
+    "op6_minmax_near_duplicates": op6_minmax_near_duplicates,
+    "op7_pattern_packing": op7_pattern_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .class_model import op9_class_bigrams
+from .fingerprints import op8_multiset_fingerprints
 from .near import op6_minmax_near_duplicates
 from .packing import op7_pattern_packing
 from .token_files import op4_token_files
@@ -10,6 +12,8 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op6_minmax_near_duplicates": op6_minmax_near_duplicates,
     "op7_pattern_packing": op7_pattern_packing,
+    "op8_multiset_fingerprints": op8_multiset_fingerprints,
+    "op9_class_bigrams": op9_class_bigrams,
 }
 
 ORACLE_SQL: dict[str, str] = {}

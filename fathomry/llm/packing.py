@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, shuffle_partitions
-from .tokens import default_vocabulary, encoder, with_end
+from .tokens import default_vocabulary, encoder, slices, with_end
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,8 +40,7 @@ def cut_pieces(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None =
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
+            for part in slices(batch):
                 ids, at = with_end(*encoder(vocabulary).encode(part.column("text")), end_id)
                 wide = ids.astype("<u4")
                 rows = []

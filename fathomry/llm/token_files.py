@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .ranges import block_of, filled, key_bounds
 from .scratch import Scratch, block_count
-from .tokens import default_vocabulary, encoder, with_end
+from .tokens import default_vocabulary, encoder, slices, with_end
 
 #: Fixed values of the public seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -141,8 +141,7 @@ def write_token_files(df: DataFrame, scratch: Scratch, vocabulary: str | None =
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
         for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
+            for part in slices(batch):
                 enc = encoder(vocabulary)
                 if writer is None:
                     block = part.column("block")[0].as_py()

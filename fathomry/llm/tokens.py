@@ -7,6 +7,7 @@ space follows a non-blank character falls apart at its spaces: the ids of the wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -61,24 +62,26 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _runs(self, words: list[str], size: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words that begin with a space and end in a solid character, and how many each has; encoded in long
-        runs, which are cut where the bytes of the tokens so far meet the bytes of the words so far."""
-        got = [np.array(x, self.dtype) for x in self._raw(["".join(words[i : i + size]) for i in range(0, len(words), size)])]
-        ids = np.concatenate(got)
+    def _runs(self, words: pa.Array, size: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, a space before each, and how many each has. Words are encoded in long runs, which are cut
+        where the bytes of the tokens so far meet the bytes of the words so far; none may be empty or end in a blank."""
+        edges = pa.array(np.unique(np.append(np.arange(0, len(words), size), len(words))).astype(np.int32))
+        runs = pc.binary_join(pa.ListArray.from_arrays(edges, words), " ").to_pylist()
+        ids = np.concatenate([np.array(x, self.dtype) for x in self._raw([" " + x for x in runs])])
         token_ends = np.cumsum(self.token_bytes[ids])
-        word_ends = np.cumsum(pc.binary_length(pa.array(words)).to_numpy(zero_copy_only=False).astype(np.int64))
+        word_ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         cuts = np.searchsorted(token_ends, word_ends, "right")
         if cuts[-1] != len(ids) or not np.array_equal(token_ends[cuts - 1], word_ends):
             raise ValueError("a token crosses two words")
         return ids, np.diff(cuts, prepend=0)
 
     def _codes(self, words: list[str]) -> np.ndarray:
+        """Places of words in the table that lasts between batches."""
         known = self.known
         new = [w for w in words if w not in known]
-        together = [w for w in new if w[0] == " " and not w[-1].isspace()] if len(new) > 100 else []
-        if together:
-            self._learn(together, *self._runs(together))
+        solid = [w[1:] for w in new if len(w) > 1 and w[0] == " " and not w[-1].isspace()]
+        if len(solid) > 100:
+            self._learn([" " + w for w in solid], *self._runs(pa.array(solid)))
             new = [w for w in new if w not in known]
         if new:
             each = self._raw(new)
@@ -125,16 +128,29 @@ class Encoder:
         at -= at[0]
         coded = lists.flatten().dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
         spaced = np.ones(len(code), bool)
         spaced[at[:-1]] = False  # a text's first word has no space before it
-        index = self._codes([" " + w for w in words])[code]
+        often = np.bincount(code[spaced], minlength=len(words))
+        solid = pc.and_(pc.equal(pc.utf8_rtrim_whitespace(words), words), pc.not_equal(words, "")).to_numpy(zero_copy_only=False)
+        once = np.flatnonzero((often == 1) & solid)
+        more = np.flatnonzero((often > 1) | (often == 1) & ~solid)
         first, where = np.unique(code[at[:-1]], return_inverse=True)
-        index[at[:-1]] = self._codes([words[i] for i in first])[where]
-        begin, length = np.array(self.begin, np.int64), np.array(self.length, np.int64)
-        n = length[index]
+        # the batch's table: the lasting one, then words that the batch has once
+        lasting = self._codes([" " + w for w in words.take(pa.array(more)).to_pylist()])
+        index = np.zeros(len(words), np.int64)
+        heads = self._codes(words.take(pa.array(first)).to_pylist())
+        index[more] = lasting
+        index[once] = len(self.begin) + np.arange(len(once))
+        rare, n_rare = self._runs(words.take(pa.array(once))) if len(once) else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        begin = np.concatenate([self.begin, self.used + np.cumsum(n_rare) - n_rare]).astype(np.int64)
+        length = np.concatenate([self.length, n_rare]).astype(np.int64)
+        each = index[code]
+        each[at[:-1]] = heads[where]
+        n = length[each]
         ends = np.cumsum(n)
-        ids = self.flat[np.repeat(begin[index] - (ends - n), n) + np.arange(ends[-1])]
+        flat = np.concatenate([self.flat[: self.used], rare])
+        ids = flat[np.repeat(begin[each] - (ends - n), n) + np.arange(ends[-1])]
         return ids, np.concatenate([[0], ends])[at]
 
 
@@ -144,6 +160,16 @@ def encoder(path: str, plain_specials: bool = False) -> Encoder:
     return Encoder(path, plain_specials)
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in runs of about size bytes of a string column."""
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, first = np.cumsum(length), 0
+    while first < batch.num_rows:
+        end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, "right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Append end_id to each text's ids."""
     return np.insert(ids, bounds[1:], np.array(end_id, ids.dtype)), bounds + np.arange(len(bounds))

@@ -6,8 +6,11 @@
    signature of 2 * permutations values needs half as many hash evaluations. Bands of ``rows`` values are bucket keys.
    With 100 functions and bands of five, a pair at similarity 0.8 shares no bucket with a chance of about 1e-7.
 3. In a bucket, every class is compared with the smallest one (its hub), on full sets. Components of the links follow.
-   Only classes of a bucket that ended in different components are then compared with each other, where their sizes
-   allow the similarity; a bucket whose classes all are linked needs no more pairs. No bucket or partner is capped.
+   A bucket whose classes all are in one component needs no more pairs. In the others, for some rounds, every class
+   is compared with the bucket's central member (the one that meets most others over all its buckets), and components
+   are taken again. Members of a bucket that are still in different components are then compared with each other
+   inside a join: on sizes, on long sketches, and on full sets where those leave the similarity possible, so that only
+   links leave the join. No bucket or partner is capped.
 4. Components of all links give each document the smallest document id that it reaches.
 
 Cases: a null or wordless text has an empty set, is its own component and is kept; repeated rows get the same
@@ -21,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -31,7 +34,12 @@ from .words import chunks, mix, shingles, split
 PERMUTATIONS, ROWS = 100, 5
 #: Candidate documents' ids (8 bytes each) go to every executor up to this count, beyond it by a shuffle.
 BROADCAST_IDS = 1_000_000
-_STEP = 1 << 16
+#: Functions of the long sketch, which has one bit each of the smallest and the largest value. At similarity 0.8 a
+#: tenth of the bits differ; more than SPREAD standard deviations above that are taken for no link (about 1e-9).
+SKETCH, SPREAD = 1024, 6.0
+#: Rounds of comparing with a central member of each bucket before members are compared with each other.
+ROUNDS = 2
+_STEP = 1 << 12
 
 
 def functions_of(permutations: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +66,12 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def low_bits(signature: np.ndarray) -> np.ndarray:
+    """The bit 32 of each value, 64 to a long."""
+    bits = ((signature >> np.uint64(32)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(np.pad(bits, (0, -len(bits) % 64))).view(np.int64)
+
+
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     for _, _, raw, offsets in chunks(texts):
         hashes, bounds = shingles(split(raw, offsets), k)
@@ -76,37 +90,57 @@ def signatures(df: DataFrame, k: int, permutations: int, rows: int) -> DataFrame
                 n.append(len(own))
                 one.append(int(own.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                keys.append(band_keys(min_max(own, a, b), rows) if len(own) else np.zeros(0, np.int64))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+                signature = min_max(own, a, b)
+                keys.append(band_keys(signature, rows) if len(own) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), as_lists(keys)],
                 ["doc_id", "n_shingles", "one", "two", "keys"],
             )
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, one long, two long, keys array<long>")
 
 
+def as_lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def shingle_sets(df: DataFrame, k: int) -> DataFrame:
     """doc_id, own: the whole set of shingle hashes."""
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = list(_sets(batch.column("text"), k))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-            flat = (np.concatenate(own) if own else np.zeros(0, np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_lists(list(_sets(batch.column("text"), k)))], ["doc_id", "own"])
 
     return df.mapInArrow(full, "doc_id long, own array<long>")
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """docs (doc_id, text) of the ids; the ids are broadcast up to BROADCAST_IDS, else both sides are shuffled."""
+    ids = scratch.save(ids, f"{name}-ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi")
+
+
+def open_sets(df: DataFrame, k: int) -> DataFrame:
+    """doc_id, own: the whole set of shingle hashes, sketch: 2 * SKETCH bits in longs."""
+    a, b = functions_of(SKETCH)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = list(_sets(batch.column("text"), k))
+            bits = [low_bits(min_max(x, a, b)).tolist() for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_lists(own), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "own", "sketch"])
+
+    return df.mapInArrow(run, "doc_id long, own array<long>, sketch array<long>")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of document ids whose full sets have 100 * intersection >= percent * union."""
     pairs = scratch.save(pairs, f"{name}-pairs")
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    small = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if small else ids.hint("merge"), "doc_id", "left_semi")
-    sets = scratch.save(shingle_sets(texts, k), f"{name}-sets").dropDuplicates(["doc_id"])
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = scratch.save(shingle_sets(texts_of(ids, docs, scratch, name), k), f"{name}-sets").dropDuplicates(["doc_id"])
     left = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
     shared = F.size(F.array_intersect("own_a", "own_b"))
@@ -118,6 +152,27 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Sc
     return out
 
 
+def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (key, doc_id, ...) of the keys whose members are in more than one component, with their labels."""
+    own = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("found"))
+    labelled = rows.join(own, "doc_id", "left").withColumn("label", F.coalesce("found", "doc_id")).drop("found")
+    keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    return labelled.join(keys, "key", "left_semi")
+
+
+def apart(percent: int) -> Column:
+    """Rows x and y are in different components, and their sizes leave the similarity possible."""
+    sizes = F.least("x.n_shingles", "y.n_shingles") * 100 >= percent * F.greatest("x.n_shingles", "y.n_shingles")
+    return (F.col("x.label") != F.col("y.label")) & sizes
+
+
+def alike(percent: int) -> Column:
+    """The long sketches of rows x and y leave the similarity possible."""
+    odd = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(2 * SKETCH // 64)), F.lit(0))
+    share = (1 - percent / 100) / 2
+    return odd <= int(2 * SKETCH * share + SPREAD * (2 * SKETCH * share * (1 - share)) ** 0.5)
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     signed = scratch.save(signatures(docs, k, permutations, rows), "signed")
@@ -129,25 +184,37 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     shared = buckets.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub <> last").select("key", "hub")
     buckets = scratch.save(buckets.join(shared, "key"), "buckets")
     first = buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirm(first, docs, k, percent, scratch, "first")
-    labels = components(links, scratch, "one")
-    own = labels.select(F.col("node").alias("doc_id"), "label")
-    labelled = buckets.join(own, "doc_id", "left").select("key", "hub", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
-    hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    labelled = scratch.save(labelled.join(hubs, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub")), "labelled")
-    # in each bucket: members outside the hub's component, against members of yet another component
-    others = labelled.filter("label <> hub_label").select("key", F.col("doc_id").alias("o"), F.col("label").alias("ol"), F.col("n_shingles").alias("on"))
-    open_keys = others.select("key").distinct()
-    rest = labelled.filter("doc_id <> hub").join(open_keys, "key", "left_semi")
-    fits = (F.least("on", "n_shingles") * 100 >= percent * F.greatest("on", "n_shingles")) & (F.col("ol") != F.col("label"))
-    # a pair of two outsiders is met from either side: keep one
-    once = (F.col("label") == F.col("hub_label")) | (F.col("o") < F.col("doc_id"))
-    second = rest.join(others, "key").filter(fits & once).select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b")).distinct()
-    more = confirm(second, docs, k, percent, scratch, "second")
-    if not more.isEmpty():
-        labels = components(links.union(more), scratch, "two")
-    for part in ("buckets", "labelled"):
-        scratch.discard(part)
+    links = confirm(first, docs, k, percent, scratch, "hubs")
+    labels = components(links, scratch, "by-hubs")
+    rows_open = scratch.save(still_open(buckets.drop("hub"), labels), "open")
+    as_pair = (F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+    turn = 0
+    while turn < ROUNDS and not rows_open.isEmpty():
+        turn += 1
+        met = rows_open.join(rows_open.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("doc_id").agg(F.sum("n").alias("met"))
+        central = rows_open.join(met, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("met", "doc_id")).alias("doc_id"))
+        central = rows_open.join(central, ["key", "doc_id"], "left_semi")
+        pairs = rows_open.alias("x").join(central.alias("y"), (F.col("x.key") == F.col("y.key")) & apart(percent)).select(*as_pair).distinct()
+        more = confirm(pairs, docs, k, percent, scratch, f"central-{turn}")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = components(links, scratch, f"by-central-{turn}")
+        rows_open = scratch.save(still_open(rows_open.drop("label"), labels), f"open-{turn}")
+    if not rows_open.isEmpty():
+        opened = open_sets(texts_of(rows_open.select("doc_id").distinct(), docs, scratch, "open"), k)
+        opened = scratch.save(opened, "open-sets").dropDuplicates(["doc_id"])
+        # a bucket's largest label stands for one side; members outside it meet all members with other labels
+        most = rows_open.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+        sided = rows_open.join(most, "key").join(opened, "doc_id")
+        one_side = (F.col("y.label") == F.col("y.most")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+        shared = F.size(F.array_intersect("x.own", "y.own"))
+        linked = 100 * shared >= percent * (F.size("x.own") + F.size("y.own") - shared)
+        near = (F.col("x.key") == F.col("y.key")) & one_side & apart(percent) & alike(percent) & linked
+        more = scratch.save(sided.filter("label <> most").alias("x").join(sided.alias("y"), near).select(*as_pair).distinct(), "rest-links")
+        if not more.isEmpty():
+            labels = components(links.union(more), scratch, "by-rest")
+    scratch.discard("buckets")
     found = labels.withColumnsRenamed({"node": "rep", "label": "component_id"})
     members = classes.join(found, "rep", "left").select("one", "two", F.coalesce("component_id", "rep").alias("component_id"))
     rows_ = signed.select("doc_id", "n_shingles", "one", "two").join(members, ["one", "two"], "left")

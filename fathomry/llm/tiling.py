@@ -6,6 +6,8 @@ Karp-Rabin hashes, and the longest run whose words are not marked yet is marked
 none of MIN_MATCH words is left. Tiles may stand in any order, so reordered passages are caught. An item's coverage
 is the share of its words under tiles; a document is contaminated when it covers THRESHOLD of some item.
 
+Both sides are lower-cased as Unicode text first, so a passage in capitals is found.
+
 The benchmark is cut into blocks of at most BLOCK_WORDS words; each block goes to every executor, and documents pass
 all blocks without a shuffle.
 
@@ -125,12 +127,12 @@ def find_tiles(block: Block) -> Column:
                 out.append(row)
         return pa.array(out, _TILES)
 
-    return run(F.coalesce("text", F.lit("")))
+    return run(F.lower(F.coalesce("text", F.lit(""))))
 
 
 def blocks_of(benchmark: DataFrame, most_words: int = BLOCK_WORDS) -> list[Block]:
     """The benchmark in blocks of about most_words words (an item is never cut); the driver holds one after another."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     n = rows.agg(F.coalesce(F.sum(F.char_length("text") / 2 + 1), F.lit(0))).first()[0]
     parts = int(n // most_words) + 1
     if parts == 1:

@@ -8,9 +8,9 @@
 3. In a bucket, every class is compared with the smallest one (its hub), on full sets. Components of the links follow.
    A bucket whose classes all are in one component needs no more pairs. In the others, for some rounds, every class
    is compared with the bucket's central member (the one that meets most others over all its buckets), and components
-   are taken again. Members of a bucket that are still in different components are then compared with each other
-   inside a join: on sizes, on long sketches, and on full sets where those leave the similarity possible, so that only
-   links leave the join. No bucket or partner is capped.
+   are taken again. Members of a bucket that are still in different components are then compared with each other, block
+   by block: on sizes, on long sketches, and on full sets where those leave the similarity possible. No bucket or
+   partner is capped.
 4. Components of all links give each document the smallest document id that it reaches.
 
 Cases: a null or wordless text has an empty set, is its own component and is kept; repeated rows get the same
@@ -39,6 +39,8 @@ BROADCAST_IDS = 1_000_000
 SKETCH, SPREAD = 1024, 6.0
 #: Rounds of comparing with a central member of each bucket before members are compared with each other.
 ROUNDS = 2
+#: Members of a bucket in a block; a task compares two blocks at a time.
+BLOCK = 512
 _STEP = 1 << 12
 
 
@@ -166,11 +168,72 @@ def apart(percent: int) -> Column:
     return (F.col("x.label") != F.col("y.label")) & sizes
 
 
-def alike(percent: int) -> Column:
-    """The long sketches of rows x and y leave the similarity possible."""
-    odd = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(2 * SKETCH // 64)), F.lit(0))
+def most_odd_bits(percent: int) -> int:
+    """Bits of long sketches that may differ where the similarity is still possible."""
     share = (1 - percent / 100) / 2
-    return odd <= int(2 * SKETCH * share + SPREAD * (2 * SKETCH * share * (1 - share)) ** 0.5)
+    return int(2 * SKETCH * share + SPREAD * (2 * SKETCH * share * (1 - share)) ** 0.5)
+
+
+def linked_in_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the links of members of a bucket with different labels; rows (key, doc_id, label), sets (doc_id, own,
+    sketch, keys).
+
+    A bucket is dealt into blocks of about BLOCK members and one task has two blocks at a time, so a large bucket is
+    spread over many tasks and its pairs never leave them unless they are links. Of the buckets that two members
+    share, the first one compares them.
+    """
+    size = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own_block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    dealt = rows.join(size, "key").withColumn("block", own_block).select("key", "doc_id", "label", "block", F.explode(pairs).alias("t"))
+    dealt = dealt.select("key", "t.i", "t.j", "block", "doc_id", "label").join(sets, "doc_id")
+    ordered = dealt.select("key", "i", "j", "block", "doc_id", "label", "keys", "sketch", "own").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    odd = most_odd_bits(percent)
+
+    def compare(key: int, i: int, j: int, block: np.ndarray, ids: np.ndarray, label: np.ndarray, keys: np.ndarray, sketch: np.ndarray, own: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        if (label == label[0]).all():
+            return
+        n = np.array([len(x) for x in own])
+        for x in range(len(ids) - 1):
+            rest = slice(x + 1, None)
+            apart = (label[rest] != label[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
+            if i != j:
+                apart &= block[rest] != block[x]
+            y = x + 1 + np.flatnonzero(apart)
+            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(1) <= odd]
+            y = y[keys[y, (keys[y] == keys[x]).argmax(1)] == key]
+            for z in y:
+                both = len(np.intersect1d(own[x], own[z], assume_unique=True))
+                if (100 + percent) * both >= percent * (n[x] + n[z]):
+                    yield min(int(ids[x]), int(ids[z])), max(int(ids[x]), int(ids[z]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []  # columns of the group that is being read
+
+        def flush() -> pa.RecordBatch:
+            block, ids, label = (np.concatenate([h[c] for h in held]) for c in range(3))
+            keys, sketch = (np.concatenate([h[c] for h in held]) for c in (3, 4))
+            links = list(compare(*group, block, ids, label, keys, sketch, [x for h in held for x in h[5]])) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[c] for p in links], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            g = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]).any(1)) + 1).tolist(), len(g)]
+            flat, sketches_, owns = batch.column(6), batch.column(7), batch.column(8)
+            for b, e in zip(cuts, cuts[1:], strict=False):
+                if b == e:
+                    continue
+                if group != tuple(g[b].tolist()):
+                    if held:
+                        yield flush()
+                    group, held = tuple(g[b].tolist()), []
+                lists = [c.slice(b, e - b).flatten().to_numpy(zero_copy_only=False) for c in (flat, sketches_, owns)]
+                ends = np.cumsum([len(x) for x in owns.slice(b, e - b)])
+                held.append((*(batch.column(c).slice(b, e - b).to_numpy() for c in (3, 4, 5)), lists[0].reshape(e - b, -1), lists[1].view(np.uint64).reshape(e - b, -1), np.split(lists[2], ends[:-1])))
+        if held:
+            yield flush()
+
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
@@ -203,15 +266,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
         rows_open = scratch.save(still_open(rows_open.drop("label"), labels), f"open-{turn}")
     if not rows_open.isEmpty():
         opened = open_sets(texts_of(rows_open.select("doc_id").distinct(), docs, scratch, "open"), k)
-        opened = scratch.save(opened, "open-sets").dropDuplicates(["doc_id"])
-        # a bucket's largest label stands for one side; members outside it meet all members with other labels
-        most = rows_open.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-        sided = rows_open.join(most, "key").join(opened, "doc_id")
-        one_side = (F.col("y.label") == F.col("y.most")) | (F.col("x.doc_id") < F.col("y.doc_id"))
-        shared = F.size(F.array_intersect("x.own", "y.own"))
-        linked = 100 * shared >= percent * (F.size("x.own") + F.size("y.own") - shared)
-        near = (F.col("x.key") == F.col("y.key")) & one_side & apart(percent) & alike(percent) & linked
-        more = scratch.save(sided.filter("label <> most").alias("x").join(sided.alias("y"), near).select(*as_pair).distinct(), "rest-links")
+        opened = scratch.save(opened, "open-sets").dropDuplicates(["doc_id"]).join(signed.select("doc_id", "keys").dropDuplicates(["doc_id"]), "doc_id")
+        more = scratch.save(linked_in_buckets(rows_open, opened, percent).distinct(), "rest-links")
         if not more.isEmpty():
             labels = components(links.union(more), scratch, "by-rest")
     scratch.discard("buckets")

@@ -1,4 +1,58 @@
-"""Four stages from documents to packed sequences."""
+"""From documents to packed sequences: quality, near duplicates, benchmark passages, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all rows that it is given, and returns a DataFrame; all but the last
+return the columns of documents. Labels and benchmark are read from sf_dir. Between stages the rows are written as
+Parquet and read again, by run() as by any other caller.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathomry.llm.near import near_duplicates
+from fathomry.llm.packing import pack
+from fathomry.llm.quality import select_quality
+from fathomry.llm.scratch import Scratch
+from fathomry.llm.tiling import decontaminate
+
+#: Near duplicates: words of a shingle and percent of similarity.
+SHINGLE, PERCENT = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps and that are not toxic."""
+    return select_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "quality"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id. Rows that repeat an id stay together;
+    rows without an id stay unless a document with an equal set of shingles has one."""
+    found = near_duplicates(docs, Scratch(spark, "near"), SHINGLE, PERCENT)
+    out = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("out_id")).distinct()
+    return docs.join(out, F.col("doc_id") == F.col("out_id"), "left_anti")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document."""
+    return pack(docs, Scratch(spark, "packing"))
+
+
+STAGES = [("quality classifier", quality), ("near duplicates", near_dedup), ("benchmark decontamination", benchmark), ("best-fit packing", packing)]
+
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from the documents of sf_dir."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), str(i))
+    return docs

@@ -3,9 +3,7 @@
 A file is a row with a path. Its statements are the lines that hold an anchor word, the sentences with one of lines
 over LINE_WORDS words, and the whole text when it has at most WHOLE_WORDS words and more than one such line. Each
 distinct statement is weighed by TF-IDF (idf over the templates) and compared with every template by cosine; at
-THRESHOLD or more and with MIN_TERMS shared terms the best template is the statement's licence. A template cannot be
-reached without an anchor: anchors are each template's heaviest terms, until what is left of its unit vector is
-shorter than THRESHOLD.
+THRESHOLD or more and with MIN_TERMS shared terms the best template is the statement's licence.
 
 A file's own licence is the one most of its statements carry. A file without one inherits that of the nearest
 directory above it: the licence that most of the licence files (files of which a statement is a good part) of that
@@ -50,6 +48,8 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: Terms of which a statement has one; every template has several.
+ANCHORS = tuple("license licensed licence licenced permission permitted redistribution redistribute copyright unencumbered mozilla apache creative commons gnu bsd mit isc cc cc0 waived affero sharealike noncommercial".split())
 WORD = r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*"
 
 
@@ -77,26 +77,9 @@ def unknown_idf() -> float:
     return math.log(1 + sum(len(ts) for ts in TEMPLATES.values())) + 1
 
 
-def anchors(threshold: float = THRESHOLD) -> list[str]:
-    """Terms of which every statement that reaches a template has one: common ones are taken only where they must be."""
-    rows, idf = weights()
-    out: set[str] = set()
-    by: dict[tuple[str, int], list[tuple[float, str]]] = {}
-    for name, i, term, w in rows:
-        by.setdefault((name, i), []).append((w, term))
-    for terms in by.values():
-        left = 1.0
-        for w, term in sorted(terms, key=lambda x: (-len(x[1]) if idf[x[1]] > 1.8 else 0, -x[0], x[1])):
-            if math.sqrt(max(left, 0.0)) < threshold:
-                break
-            left -= w * w
-            out.add(term)
-    return sorted(out)
-
-
 def anchored() -> str:
     """A regular expression of the anchors, for lower-cased text."""
-    return rf"\b(?:{'|'.join(a.replace('.', chr(92) + '.') for a in anchors())})\b"
+    return rf"\b(?:{'|'.join(a.replace('.', chr(92) + '.') for a in ANCHORS)})\b"
 
 
 def statements(files: DataFrame) -> DataFrame:
@@ -104,11 +87,13 @@ def statements(files: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     has = lambda x: F.lower(x).rlike(anchored())
     n = F.size(words_of(text))
-    found = files.filter(has(text)).dropDuplicates(["key"]).select("key", text.alias("text"), n.alias("n_words"), F.filter(F.split(text, "\n"), has).alias("lines"))
+    found = files.filter(has(text)).select("key", text.alias("text"), n.alias("n_words"), F.filter(F.split(text, "\n"), has).alias("lines"))
     long_lines = F.filter("lines", lambda x: F.size(F.split(x, " ")) > LINE_WORDS)
     sentences = F.filter(F.flatten(F.transform(long_lines, lambda x: F.split(x, r"(?<=[.!?;])\s+"))), has)
     whole = F.when((F.col("n_words") <= WHOLE_WORDS) & (F.size("lines") > 1), F.array(F.regexp_replace("text", "\n", " "))).otherwise(F.array().cast("array<string>"))
-    return found.select("key", "n_words", F.explode(F.concat("lines", sentences, whole)).alias("statement"))
+    # copies of a text meet as their statements only
+    once = found.select("key", "n_words", F.concat("lines", sentences, whole).alias("statements")).dropDuplicates(["key"])
+    return once.select("key", "n_words", F.explode("statements").alias("statement"))
 
 
 def match(distinct: DataFrame) -> DataFrame:

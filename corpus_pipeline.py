@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows that repeat an id stay together;
-    rows without an id stay unless a document with an equal set of shingles has one."""
+    """One document of each group of near copies: the one with the smallest id. Rows that repeat an id stay together,
+    and rows without an id stay."""
     found = near_duplicates(docs, Scratch(spark, "near"), SHINGLE, PERCENT)
     out = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("out_id")).distinct()
     return docs.join(out, F.col("doc_id") == F.col("out_id"), "left_anti")

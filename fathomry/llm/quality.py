@@ -87,14 +87,14 @@ def word_presence(docs: DataFrame) -> DataFrame:
     def present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            found = [np.zeros((0, 2), np.int64)]
+            found: dict[int, list[np.ndarray]] = {0: [], 1: []}
             for first, _, raw, offsets in chunks(batch.column("text")):
                 words = split(raw, offsets)
                 for i in range(len(words.bounds) - 1):
-                    own = np.unique(words.hashes[words.bounds[i] : words.bounds[i + 1]]).view(np.int64)
-                    found.append(np.stack([own, np.full(len(own), kind[first + i])], 1))
-            rows, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(n * rows[:, 1]), pa.array(n * (1 - rows[:, 1]))], ["h", "toxic", "other"])
+                    found[int(kind[first + i])].append(np.unique(words.hashes[words.bounds[i] : words.bounds[i + 1]]))
+            for k, own in found.items():
+                h, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n * k), pa.array(n * (1 - k))], ["h", "toxic", "other"])
 
     once = docs.groupBy("text").agg(F.max("toxic").alias("toxic"))
     return once.mapInArrow(present, "h long, toxic long, other long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranges import block_of, filled, key_bounds
-from .scratch import block_count
+from .scratch import block_count, bounded_batches
 from .words import CHUNK_BYTES, mix, shingles, split
 
 EQUAL, LIKE, SHINGLE = 16, 256, 5
@@ -176,4 +176,5 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
 def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
+    bounded_batches(spark)
     return compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))

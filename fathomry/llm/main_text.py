@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import bounded_batches
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)(.*)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -236,5 +238,6 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
 
 def op10_best_region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
+    bounded_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", "n_chars")

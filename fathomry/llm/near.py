@@ -40,7 +40,7 @@ SKETCH, SPREAD = 1024, 6.0
 #: Rounds of comparing with a central member of each bucket before members are compared with each other.
 ROUNDS = 2
 #: Members of a bucket in a block; a task compares two blocks at a time.
-BLOCK = 512
+BLOCK = 1024
 _STEP = 1 << 12
 
 

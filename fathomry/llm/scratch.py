@@ -21,11 +21,25 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch for a Python worker exceed BATCH_BYTES by more than a row, whatever the length of texts.
+
+    The session keeps the setting, since DataFrames that are returned run later; a smaller one of the user's stays.
+    """
+    now = spark.conf.get(BATCH_SETTING, "-1").lower().removesuffix("b")
+    if not now.lstrip("-").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 class Scratch:
     """A folder of its own under the shared root; its tables go at exit or when discarded."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bounded_batches(spark)
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.discard)
 

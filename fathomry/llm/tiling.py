@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import bounded_batches
 from .words import Words, chunks, shingles, split
 
 MIN_MATCH, THRESHOLD, BLOCK_WORDS = 5, 0.8, 2_000_000
@@ -157,6 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 def op3_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document: whether it is contaminated, by which items, its largest coverage and number of tiles."""
+    bounded_batches(spark)
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = docs.select("doc_id", all_tiles(benchmark).alias("tiles"))
     hit = F.filter("tiles", lambda t: t["coverage"] >= THRESHOLD)

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 DAY = 86_400
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time with or without zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def since(ts: Column, now: str, days: float) -> Column:
     """Strictly younger than days before now."""
-    return F.unix_micros(ts) > F.unix_micros(F.lit(now).cast("timestamp")) - int(days * DAY * 1_000_000)
+    return micros(ts) > micros(F.lit(now)) - int(days * DAY * 1_000_000)
 
 
 def logs(table: DataFrame, now: str, days: int = 30, limit: int = 1000, **equal: object) -> DataFrame:
@@ -61,7 +66,7 @@ def by_category(table: DataFrame, now: str, days: int) -> DataFrame:
 
 def purge(table: DataFrame, now: str, days: int) -> tuple[DataFrame, DataFrame]:
     """Rows that stay, and those that go: older than days before now."""
-    old = F.unix_micros("ts") < F.unix_micros(F.lit(now).cast("timestamp")) - days * DAY * 1_000_000
+    old = micros(F.col("ts")) < micros(F.lit(now)) - days * DAY * 1_000_000
     return table.filter(~old), table.filter(old)
 
 
@@ -69,7 +74,7 @@ def trip_wire(events: DataFrame, minutes: int, least: int) -> DataFrame:
     """user_id, event_id, ts, n of high or critical events with at least ``least`` of them in the minutes before, itself included.
 
     The start of the window is open."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-(minutes * 60_000_000) + 1, 0)
+    w = Window.partitionBy("user_id").orderBy(micros(F.col("ts"))).rangeBetween(-(minutes * 60_000_000) + 1, 0)
     high = events.filter(F.col("severity").isin("high", "critical"))
     return high.withColumn("n", F.count(F.lit(1)).over(w)).filter(F.col("n") >= least).select("user_id", "event_id", "ts", "n")
 

@@ -121,16 +121,18 @@ def digits(text: Column) -> Column:
 
 def luhn(number: Column) -> Column:
     d = digits(number)
-    return F.length(d).between(13, 19) & F.luhn_check(d)
+    return F.length(d).between(13, 19) & F.call_function("luhn_check", d)
 
 
 def pii(text: Column) -> Column:
     """Array of (kind, span): valid cards, then the other kinds in order."""
     cards = F.filter(F.regexp_extract_all(text, F.lit(f"({CARD})"), F.lit(1)), luhn)
     parts = [F.transform(cards, lambda s: F.struct(F.lit("credit_card").alias("kind"), s.alias("span")))]
-    for kind, pattern in KINDS:
-        parts.append(F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda s, kind=kind: F.struct(F.lit(kind).alias("kind"), s.alias("span"))))
-    return F.concat(*parts)
+
+    def spans(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("span")))
+
+    return F.concat(*parts, *[spans(*k) for k in KINDS])
 
 
 def mask(text: Column) -> Column:
@@ -245,15 +247,14 @@ def screen(queries: DataFrame, policy: dict | None = None, semantic: bool = True
     def hit(rule: str, matched: Column, layer: str = "input") -> Column:
         return F.when(matched.isNotNull(), F.struct(F.lit(layer).alias("layer"), F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"), matched.alias("matched")))
 
-    found = []
-    for rule, flag in FLAGS.items():
-        if rules.get(flag, True):
-            if rule == "sql_injection":
-                matched = first_match(F.col("text"), rule)
-            else:
-                first = F.element_at(F.filter("variants", lambda v, rule=rule: any_of(v["text"], rule)), 1)
-                matched = F.when(F.exists("variants", lambda v, rule=rule: any_of(v["text"], rule)), F.left(F.concat(F.lit("["), first["kind"], F.lit("] "), first_match(first["text"], rule)), F.lit(120)))
-            found.append(hit(rule, F.when(~F.col("too_long"), matched)))
+
+    def matched(rule: str) -> Column:
+        if rule == "sql_injection":
+            return first_match(F.col("text"), rule)
+        first = F.get(F.filter("variants", lambda v: any_of(v["text"], rule)), F.lit(0))
+        return F.when(first.isNotNull(), F.left(F.concat(F.lit("["), first["kind"], F.lit("] "), first_match(first["text"], rule)), F.lit(120)))
+
+    found = [hit(rule, F.when(~F.col("too_long"), matched(rule))) for rule, flag in FLAGS.items() if rules.get(flag, True)]
     kinds = F.array_join(F.transform(pii(F.col("text")), lambda p: p["kind"]), ",")
     has_pii = F.size(pii(F.col("text"))) > 0
     pii_on = rules.get("block_pii_in_query", True)

@@ -29,8 +29,8 @@ def bounded_batches(spark: SparkSession) -> None:
 
     The session keeps the setting, since DataFrames that are returned run later; a smaller one of the user's stays.
     """
-    now = spark.conf.get(BATCH_SETTING, "-1").lower().removesuffix("b")
-    if not now.lstrip("-").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+    now = spark.conf.get(BATCH_SETTING).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 

@@ -26,6 +26,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 THRESHOLD, MIN_TERMS, LINE_WORDS, WHOLE_WORDS = 0.6, 3, 40, 400
 #: A file is a licence file when its statements have at least this share of its words.
 FILE_SHARE = 0.3
@@ -91,24 +93,26 @@ def statements(files: DataFrame) -> DataFrame:
     long_lines = F.filter("lines", lambda x: F.size(F.split(x, " ")) > LINE_WORDS)
     sentences = F.filter(F.flatten(F.transform(long_lines, lambda x: F.split(x, r"(?<=[.!?;])\s+"))), has)
     whole = F.when((F.col("n_words") <= WHOLE_WORDS) & (F.size("lines") > 1), F.array(F.regexp_replace("text", "\n", " "))).otherwise(F.array().cast("array<string>"))
-    # copies of a text meet as their statements only
-    once = found.select("key", "n_words", F.concat("lines", sentences, whole).alias("statements")).dropDuplicates(["key"])
+    # a statement with fewer template terms cannot reach a template; copies of a text meet as their statements only
+    terms = F.array(*[F.lit(t) for t in sorted(weights()[1])])
+    telling = F.filter(F.array_distinct(F.concat("lines", sentences, whole)), lambda x: F.size(F.array_intersect(words_of(x), terms)) >= MIN_TERMS)
+    once = found.select("key", "n_words", telling.alias("statements")).filter(F.size("statements") > 0).dropDuplicates(["key"])
     return once.select("key", "n_words", F.explode("statements").alias("statement"))
 
 
 def match(distinct: DataFrame) -> DataFrame:
-    """statement, licence, cosine of distinct statements (statement) that reach a template."""
+    """sid, licence, cosine of distinct statements (sid, statement) that reach a template."""
     spark = distinct.sparkSession
     rows, idf = weights()
     templates = spark.createDataFrame(rows, "licence string, template int, term string, w double")  # fixed and small
     known = spark.createDataFrame(list(idf.items()), "term string, idf double")
-    tf = distinct.select("statement", F.explode(words_of(F.col("statement"))).alias("term")).groupBy("statement", "term").count()
+    tf = distinct.select("sid", F.explode(words_of(F.col("statement"))).alias("term")).groupBy("sid", "term").count()
     weighed = tf.join(F.broadcast(known), "term", "left").withColumn("v", (1 + F.log("count")) * F.coalesce("idf", F.lit(unknown_idf())))
-    norm = weighed.groupBy("statement").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dots = weighed.filter("idf is not null").join(F.broadcast(templates), "term").groupBy("statement", "licence", "template").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.count(F.lit(1)).alias("shared"))
-    cosines = dots.filter(F.col("shared") >= MIN_TERMS).join(norm, "statement").groupBy("statement", "licence").agg(F.max(F.col("dot") / F.col("norm")).alias("cosine"))
-    best = cosines.groupBy("statement").agg(F.min(F.struct((-F.round("cosine", 9)).alias("low"), "licence")).alias("b"))
-    return best.select("statement", F.col("b.licence").alias("licence"), (-F.col("b.low")).alias("cosine")).filter(F.col("cosine") >= THRESHOLD)
+    norm = weighed.groupBy("sid").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    dots = weighed.filter("idf is not null").join(F.broadcast(templates), "term").groupBy("sid", "licence", "template").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.count(F.lit(1)).alias("shared"))
+    cosines = dots.filter(F.col("shared") >= MIN_TERMS).join(norm, "sid").groupBy("sid", "licence").agg(F.max(F.col("dot") / F.col("norm")).alias("cosine"))
+    best = cosines.groupBy("sid").agg(F.min(F.struct((-F.round("cosine", 9)).alias("low"), "licence")).alias("b"))
+    return best.select("sid", F.col("b.licence").alias("licence"), (-F.col("b.low")).alias("cosine")).filter(F.col("cosine") >= THRESHOLD)
 
 
 def parent(path: Column) -> Column:
@@ -123,14 +127,14 @@ def most_common(df: DataFrame, key: list[str]) -> DataFrame:
     return best.select(*key, "b.licence", "b.cosine")
 
 
-def scan(files: DataFrame, ids: list[str] | None = None) -> DataFrame:
+def scan(files: DataFrame, scratch: Scratch, ids: list[str] | None = None) -> DataFrame:
     """ids, path, licence, cosine (of the statement it comes from), origin ('own', 'inherited' or null), from_directory."""
     ids = ids or []
     # the key is that of a text: equal texts carry equal licences
     keyed = files.select(*ids, "path", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
-    said = statements(keyed.select("key", "text"))
-    distinct = said.select("statement").distinct()
-    carried = said.join(match(distinct), "statement").withColumn("words", F.size(words_of(F.col("statement")))).withColumn("n", F.lit(1))
+    said = statements(keyed.select("key", "text")).withColumn("sid", F.md5("statement")).withColumn("words", F.size(words_of(F.col("statement"))))
+    said = scratch.save(said, "statements")
+    carried = said.join(match(said.select("sid", "statement").dropDuplicates(["sid"])), "sid").select("key", "n_words", "words", "licence", "cosine", F.lit(1).alias("n"))
     own = most_common(carried, ["key"])
     share = carried.groupBy("key").agg((F.max("words") >= FILE_SHARE * F.max("n_words")).alias("licence_file"))
     own = own.join(share, "key").select("key", F.col("licence").alias("own"), F.col("cosine").alias("own_cosine"), "licence_file")
@@ -159,4 +163,4 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all documents, as files source/lang/doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown")))
-    return scan(docs.select("doc_id", path.alias("path"), "text"), ["doc_id"])
+    return scan(docs.select("doc_id", path.alias("path"), "text"), Scratch(spark, "op1"), ["doc_id"])

@@ -21,7 +21,8 @@ class Engine:
         self.docs = docs
         self.posts = bm25.postings(docs).persist()
         self.stats = bm25.corpus_stats(docs)
-        self.memory = vectors.learn(docs)
+        frequency, context = vectors.learn(docs)
+        self.memory = vectors.Memory(frequency.persist(), context.persist())  # spill to disk where they must
         self.embeddings = embeddings
 
     def idf(self) -> DataFrame:
@@ -50,7 +51,7 @@ class Engine:
 
     def search(self, queries: DataFrame, k: int = 10, embedded: DataFrame | None = None) -> DataFrame:
         """qid, doc_id, rank, score."""
-        first = self.first_pass(queries, embedded)
+        first = self.first_pass(queries, embedded).persist()
         runs = bm25.top(self.expanded(queries, first), DEPTH).select(F.lit("words").alias("run"), "qid", "doc_id", "rank")
         if self.embeddings is not None and embedded is not None:
             centre = first.filter(F.col("rank") <= 3).join(self.embeddings, "doc_id").select("qid", F.posexplode("v").alias("i", "x")).groupBy("qid", "i").agg(F.avg("x").alias("x"))
@@ -79,7 +80,7 @@ class Engine:
         A query without hits is asked again with each subject word replaced by the closest word of the corpus."""
         parsed = intent.decompose(queries)
         base = parsed.select("qid", F.when(F.col("has_intent_marker") | F.col("has_acronym"), F.col("subject")).otherwise(F.col("text")).alias("text"))
-        hits = self.search(base, max_keep)
+        hits = self.search(base, max_keep).persist()
         lost = base.join(hits.select("qid").distinct(), "qid", "left_anti")
         asked = lost.select("qid", F.posexplode(F.filter(F.regexp_extract_all("text", F.lit(r"(\b\w+\b)"), F.lit(1)), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*intent.FILLERS))).alias("i", "term"))
         fixes = intent.corrections(asked, self.posts.select("term").distinct())
@@ -96,7 +97,7 @@ class Engine:
         if category:
             found = found.join(self.docs.filter(F.coalesce(F.col("category"), F.lit("General")) == category).select("doc_id"), "doc_id", "left_semi")
             found = bm25.top(found.drop("rank"), k, score="adj_score")
-        found = found.filter(F.col("rank") <= k)
+        found = found.filter(F.col("rank") <= k).persist()
         parsed = intent.decompose(queries)
         cover = intent.subject_coverage(parsed, found)
         sure = grounding.confidence(queries, found, self.memory).join(cover, "qid", "left")

@@ -140,7 +140,8 @@ def judge(model: Model) -> Column:
         flat = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int64)), pa.array(flat[2])], ["log_ratio", "n_features", "toxic_ratio"])
 
-    return run(F.coalesce("text", F.lit("")))
+    # a filter on the scores must not be pushed below them, which would run Python twice in a task
+    return run.asNondeterministic()(F.coalesce("text", F.lit("")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = LABELLED) -> Model:

@@ -66,5 +66,8 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def block_count(df: DataFrame, block_bytes: int = 64 << 20) -> int:
-    """As many blocks as shuffle partitions are set, or more where a block would exceed block_bytes of input."""
-    return max(shuffle_partitions(df.sparkSession), -(-plan_bytes(df) // block_bytes))
+    """As many blocks as shuffle partitions are set, or more where a block would exceed block_bytes of input.
+
+    Catalyst has no size for rows that come from memory or an RDD (it says the largest number); then the setting holds."""
+    size = plan_bytes(df)
+    return max(shuffle_partitions(df.sparkSession), -(-size // block_bytes) if size < 1 << 55 else 1)

@@ -41,18 +41,22 @@ class Scratch:
         self.spark = spark
         bounded_batches(spark)
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.places: dict[str, str] = {}
         atexit.register(self.discard)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as a Parquet table and read it back: later steps no longer depend on its lineage."""
-        where = f"{self.path}/{name}"
+        """Write df as a Parquet table and read it back: later steps no longer depend on its lineage.
+
+        A name that is used again gets another table; discard removes the last one."""
+        self.places[name] = f"{name}-{uuid.uuid4().hex[:8]}" if name in self.places else name
+        where = f"{self.path}/{self.places[name]}"
         df.write.option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def discard(self, name: str = "") -> None:
         with contextlib.suppress(Exception):
             jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.places.get(name, name)}".rstrip("/"))
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

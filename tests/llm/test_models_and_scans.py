@@ -62,13 +62,25 @@ def test_emissions_and_transitions_sum_to_one(spark):
         assert not own or m.kind_total[kind] == 0 or math.isclose(total + 10 ** m.unknown_emit[kind], 1, rel_tol=1e-6)
 
 
-def test_exchange_puts_words_of_one_use_together():
-    b = np.zeros((7, 7))
-    for x in (1, 2, 3):
-        for y in (4, 5, 6):
-            b[x, y] = b[y, x] = 10
-    of = class_model.exchange(b, 2, 1)
-    assert len(set(of[1:4])) == 1 and len(set(of[4:])) == 1 and of[1] != of[4]
+def class_likelihood(b, of, k):
+    hot = np.eye(k)[of]
+    g = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+    n = hot.T @ b @ hot
+    return g(n) - g(n.sum(0)) - g(n.sum(1))
+
+
+def test_exchange_ends_where_no_move_helps():
+    rng = np.random.default_rng(8)
+    b = rng.poisson(rng.gamma(0.3, 6, (24, 24))).astype(float)
+    start = np.concatenate([[0, 1], 2 + np.arange(22) % 4])
+    of = class_model.exchange(b, 4, 2, sweeps=50)
+    found = class_likelihood(b, of, 6)
+    assert found > class_likelihood(b, start, 6) and of[:2].tolist() == [0, 1] and of[2:].min() >= 2
+    for w in range(2, 24):
+        for k in range(2, 6):
+            other = of.copy()
+            other[w] = k
+            assert class_likelihood(b, other, 6) <= found + 1e-6
 
 
 def test_empty_tables_score_nothing(spark):

@@ -82,13 +82,16 @@ class Engine:
         base = parsed.select("qid", F.when(F.col("has_intent_marker") | F.col("has_acronym"), F.col("subject")).otherwise(F.col("text")).alias("text"))
         hits = self.search(base, max_keep).persist()
         lost = base.join(hits.select("qid").distinct(), "qid", "left_anti")
-        asked = lost.select("qid", F.posexplode(F.filter(F.regexp_extract_all("text", F.lit(r"(\b\w+\b)"), F.lit(1)), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*intent.FILLERS))).alias("i", "term"))
-        fixes = intent.corrections(asked, self.posts.select("term").distinct())
-        fixed = asked.withColumn("key", F.lower("term")).join(fixes.select(F.col("term").alias("key"), "fixed"), "key", "left")
-        again = fixed.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("fixed", "term").alias("w")))), lambda s: s["w"]), " ").alias("text"))
-        rescued = self.search(again, max_keep)
-        subject = parsed.join(again.select("qid", F.col("text").alias("again")).join(rescued.select("qid").distinct(), "qid", "left_semi"), "qid", "left").withColumn("subject", F.coalesce("again", "subject"))
-        found = self.with_text(hits.unionByName(rescued))
+        subject = parsed
+        if not lost.isEmpty():
+            asked = lost.select("qid", F.posexplode(F.filter(F.regexp_extract_all("text", F.lit(r"(\b\w+\b)"), F.lit(1)), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*intent.FILLERS))).alias("i", "term"))
+            fixes = intent.corrections(asked, self.posts.select("term").distinct())
+            fixed = asked.withColumn("key", F.lower("term")).join(fixes.select(F.col("term").alias("key"), "fixed"), "key", "left")
+            again = fixed.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("fixed", "term").alias("w")))), lambda s: s["w"]), " ").alias("text"))
+            rescued = self.search(again, max_keep)
+            subject = parsed.join(again.select("qid", F.col("text").alias("again")).join(rescued.select("qid").distinct(), "qid", "left_semi"), "qid", "left").withColumn("subject", F.coalesce("again", "subject"))
+            hits = hits.unionByName(rescued)
+        found = self.with_text(hits)
         return intent.adaptive_cutoff(intent.rescore(found, intent.subject_terms(subject)), max_keep=max_keep).select("qid", "doc_id", F.col("adj_rank").alias("rank"), "snippet", "adj_score")
 
     def retrieve(self, queries: DataFrame, k: int = 5, category: str | None = None, lift_from: float = 0.1) -> tuple[DataFrame, DataFrame]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, shuffle_partitions
-from .tokens import default_vocabulary, encoder, slices, with_end
+from .tokens import default_vocabulary, encoder, merged, with_end
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,18 +39,17 @@ def cut_pieces(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None =
     vocabulary = vocabulary or default_vocabulary()
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                ids, at = with_end(*encoder(vocabulary).encode(part.column("text")), end_id)
-                wide = ids.astype("<u4")
-                rows = []
-                for j, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    own = wide[at[j] : at[j + 1]]
-                    edges = cut(len(own), capacity)
-                    rows += [(doc_id, k, b, e - b, zlib.crc32(own[b:e].tobytes())) for k, (b, e) in enumerate(zip(edges, edges[1:], strict=False))]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for part in merged(batches):
+            ids, at = with_end(*encoder(vocabulary).encode(part.column("text")), end_id)
+            wide = ids.astype("<u4")
+            rows = []
+            for j, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                own = wide[at[j] : at[j + 1]]
+                edges = cut(len(own), capacity)
+                rows += [(doc_id, k, b, e - b, zlib.crc32(own[b:e].tobytes())) for k, (b, e) in enumerate(zip(edges, edges[1:], strict=False))]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
 

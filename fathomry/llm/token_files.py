@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .ranges import block_of, filled, key_bounds
 from .scratch import Scratch, block_count
-from .tokens import default_vocabulary, encoder, slices, with_end
+from .tokens import default_vocabulary, encoder, merged, with_end
 
 #: Fixed values of the public seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -140,19 +140,18 @@ def write_token_files(df: DataFrame, scratch: Scratch, vocabulary: str | None =
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
-        for batch in batches:
-            for part in slices(batch):
-                enc = encoder(vocabulary)
-                if writer is None:
-                    block = part.column("block")[0].as_py()
-                    store, base = pafs.FileSystem.from_uri(folder)
-                    store.create_dir(base, recursive=True)
-                    name = f"block-{block:07d}-{uuid.uuid4().hex}.tokens"
-                    stream = store.open_output_stream(f"{base}/{name}")
-                    writer = TokenFileWriter(stream, enc.dtype)
-                ids, at = with_end(*enc.encode(part.column("text")), end_id)
-                for j, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    writer.add(doc_id, ids[at[j] : at[j + 1]])
+        for part in merged(batches):
+            enc = encoder(vocabulary)
+            if writer is None:
+                block = part.column("block")[0].as_py()
+                store, base = pafs.FileSystem.from_uri(folder)
+                store.create_dir(base, recursive=True)
+                name = f"block-{block:07d}-{uuid.uuid4().hex}.tokens"
+                stream = store.open_output_stream(f"{base}/{name}")
+                writer = TokenFileWriter(stream, enc.dtype)
+            ids, at = with_end(*enc.encode(part.column("text")), end_id)
+            for j, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                writer.add(doc_id, ids[at[j] : at[j + 1]])
         if writer is not None:
             writer.close()
             stream.close()

@@ -7,7 +7,7 @@ space follows a non-blank character falls apart at its spaces: the ids of the wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -170,6 +170,19 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = 12 << 20) ->
         first = end
 
 
+def merged(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 14 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about size bytes of a string column: words that repeat are encoded once in each."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(column).nbytes
+        if n >= size:
+            yield from slices(pa.concat_batches(held), column, 2 * size)
+            held, n = [], 0
+    if held:
+        yield from slices(pa.concat_batches(held), column, 2 * size)
+
+
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Append end_id to each text's ids."""
     return np.insert(ids, bounds[1:], np.array(end_id, ids.dtype)), bounds + np.arange(len(bounds))

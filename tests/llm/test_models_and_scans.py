@@ -83,6 +83,29 @@ def test_exchange_ends_where_no_move_helps():
             assert class_likelihood(b, other, 6) <= found + 1e-6
 
 
+def test_rarer_words_get_the_class_an_exchange_step_gives(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "a", "cat", "dog", "sat", "ran", f"w{rng.randint(0, 9)}", f"v{rng.randint(0, 9)},"]) for _ in range(20)) for _ in range(40)] + ["once the w1 w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    m, counts = class_model.train(docs, Scratch(spark, "t"), clustered=6, classes=3, head=100)
+    rows = {np.int64(r.h).astype(np.uint64): r for r in counts.collect()}
+    for h, n, group in zip(m.head, m.head_count, m.head_class, strict=True):
+        assert group == rows[h].kind if n == 1 else group >= class_model.KINDS
+    b = np.random.default_rng(9).poisson(3, (12, 12)).astype(float)
+    of = np.array([0, 1, *(2 + np.arange(7) % 3), 1, 0, 1])
+    counts = np.eye(5)[of].T @ b @ np.eye(5)[of]
+    right, left, self_ = [], [], []
+    for w in (9, 10, 11):
+        apart = np.arange(12) != w
+        right.append(np.bincount(of[apart], b[w, apart], 5))
+        left.append(np.bincount(of[apart], b[apart, w], 5))
+        self_.append(b[w, w])
+    best = class_model.best_classes(counts, of[9:], np.array(right), np.array(left), np.array(self_), 2)
+    for w, found in zip((9, 10, 11), best, strict=True):
+        moved = [class_likelihood(b, np.where(np.arange(12) == w, x, of), 5) for x in (2, 3, 4)]
+        assert found == 2 + int(np.argmax(moved))
+
+
 def test_empty_tables_score_nothing(spark):
     docs = spark.createDataFrame([], DOCS)
     scratch = Scratch(spark, "t")

@@ -374,6 +374,13 @@ def intent_subjects(spark, sf):
     return intent.decompose(literals(spark, ASKED))
 
 
+def _asked_hits(spark, sf) -> DataFrame:
+    """The ten best of all documents for each benchmark item, with their texts."""
+    d = documents(spark, sf)
+    hits = bm25.search(d, benchmark(spark, sf), 10).select("qid", "doc_id", "rank")
+    return hits.join(d.select("doc_id", F.col("text").alias("snippet")), "doc_id")
+
+
 _RESCORE_TERMS = (("the", 3.0), ("that", 1.0), ("of", 1.0))
 
 
@@ -388,6 +395,16 @@ def subject_rescore(spark, sf):
     return intent.rescore(hits, terms).select("doc_id", F.round("adj_score", 6).alias("adj_score"), "adj_rank")
 
 
+@query(f"""WITH {_bm25_sql()}, h AS (SELECT rk.qid, rk.doc_id, rk.rank, documents.text FROM rk JOIN documents USING (doc_id) WHERE rank <= 10), k AS (SELECT qid, rank, lower(unnest({t('lower(text)')})) AS term FROM h), c AS (SELECT qid, rank, term, count(*) AS tf FROM k GROUP BY 1, 2, 3),
+a AS (SELECT qid, term, CAST(count(*) AS DOUBLE) AS w FROM (SELECT item_id AS qid, lower(unnest({t('text')})) AS term FROM benchmark) GROUP BY 1, 2), g AS (SELECT qid, rank, round(sum(w * ln(1e0 + tf)), 9) AS s FROM c JOIN a USING (qid, term) GROUP BY 1, 2)
+SELECT qid, doc_id, round(coalesce(s, 0), 6) AS adj_score, CAST(row_number() OVER (PARTITION BY qid ORDER BY coalesce(s, 0) DESC, rank) AS INTEGER) AS adj_rank FROM h LEFT JOIN g USING (qid, rank)""")
+def subject_rescore_all(spark, sf):
+    """Every benchmark item's hits over all documents, by the item's words."""
+    asked = benchmark(spark, sf)
+    terms = asked.select("qid", F.explode(T.tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return intent.rescore(_asked_hits(spark, sf), terms).select("qid", "doc_id", F.round("adj_score", 6).alias("adj_score"), "adj_rank")
+
+
 @query(f"""WITH RECURSIVE {_bm25_sql()}, h AS (SELECT qid, doc_id, score, rank, first_value(score) OVER (PARTITION BY qid ORDER BY rank) AS top, lag(score) OVER (PARTITION BY qid ORDER BY rank) AS prev FROM rk WHERE rank <= 12),
 c AS (SELECT *, max(CASE WHEN rank > 1 AND (score < coalesce(nullif(prev, 0), 1e-9) * 0.6e0 OR score < coalesce(nullif(top, 0), 1e-9) * 0.4e0) THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY rank) AS stop FROM h)
 SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM c WHERE stop = 0""")
@@ -418,6 +435,14 @@ def subject_coverage(spark, sf):
     return intent.subject_coverage(parsed, hits).select("qid", F.round("coverage", 6).alias("coverage"))
 
 
+@query(f"""WITH {_bm25_sql()}, a AS (SELECT item_id AS qid, unnest({t('text')}) AS term FROM benchmark), s AS (SELECT qid, lower(term) AS term FROM a WHERE length(term) >= 2 AND lower(term) NOT IN ({', '.join(repr(x) for x in intent.STOP)})),
+v AS (SELECT DISTINCT qid, lower(u) AS w FROM (SELECT rk.qid, unnest({t('lower(text)')}) AS u FROM rk JOIN documents USING (doc_id) WHERE rank <= 10)), m AS (SELECT s.qid, s.term, coalesce(bool_or(contains(w, s.term)), false) AS met FROM (SELECT DISTINCT * FROM s) s LEFT JOIN v ON s.qid = v.qid GROUP BY 1, 2)
+SELECT b.item_id AS qid, round(coalesce(avg(CASE WHEN met THEN 1e0 WHEN NOT met THEN 0e0 END), 1e0), 6) AS coverage FROM benchmark b LEFT JOIN s ON s.qid = b.item_id LEFT JOIN m USING (qid, term) GROUP BY 1""")
+def subject_coverage_all(spark, sf):
+    """Every benchmark item against its hits over all documents."""
+    return intent.subject_coverage(benchmark(spark, sf).withColumn("subject", F.col("text")), _asked_hits(spark, sf)).select("qid", F.round("coverage", 6).alias("coverage"))
+
+
 # --- grounding -------------------------------------------------------------------------------------------------------
 
 
@@ -431,6 +456,15 @@ def prefix_in_corpus(spark, sf):
     return grounding.known_terms(words(d.filter("doc_id < 20")), words(d.filter("doc_id % 2 = 0")))
 
 
+@query(f"""WITH {_TOK}, v AS (SELECT DISTINCT term FROM tok), b AS (SELECT lower(unnest({t('text')})) AS term FROM benchmark), a AS (SELECT DISTINCT term, {_stem_sql('term')} AS stem, CASE WHEN length(term) >= greatest(5, length(term) - 3) THEN left(term, greatest(5, length(term) - 3)) END AS prefix FROM b),
+x AS (SELECT DISTINCT left(v.term, n) AS prefix FROM v JOIN (SELECT DISTINCT length(prefix) AS n FROM a WHERE prefix IS NOT NULL) ON length(v.term) >= n)
+SELECT a.term, (a.term IN (SELECT term FROM v)) OR coalesce(stem IN (SELECT term FROM v), false) OR coalesce(prefix IN (SELECT prefix FROM x), false) AS known FROM a""")
+def prefix_in_corpus_all(spark, sf):
+    """Words of the benchmark against the vocabulary of all documents."""
+    words = lambda x: x.select(F.explode(T.tokens("text")).alias("term")).distinct()
+    return grounding.known_terms(words(benchmark(spark, sf)), words(documents(spark, sf)))
+
+
 @query(f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS claim, b.text AS chunk FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'),
 k AS (SELECT conv_id, turn, lower(unnest({t('claim')})) AS term FROM p), s AS (SELECT conv_id, turn, lower(unnest({t('chunk')})) AS term FROM p),
 o AS (SELECT k.conv_id, k.turn, sum(ln(1e0 + length(k.term))) AS total, sum(CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.conv_id = k.conv_id AND s.turn = k.turn AND s.term = k.term) THEN ln(1e0 + length(k.term)) ELSE 0 END) AS met FROM k WHERE length(k.term) > 2 GROUP BY 1, 2)

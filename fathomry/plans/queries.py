@@ -177,10 +177,30 @@ def critical_expand(spark, sf):
     return documents(spark, sf).select("doc_id", chunking.expand_span(at, at + 25, spans).alias("s")).select("doc_id", "s.begin", "s.end", "s.title")
 
 
+_MARKED_ALL_SQL = _MARKED_SQL.replace("substr(text, 81, 200)", "substr(text, 81)")
+
+
+def _marked_all(spark, sf) -> DataFrame:
+    """Marks around the whole text: the first 80 characters as a block, then all others."""
+    text = F.concat(F.lit("Intro. [[CRITICAL: Step "), (F.col("doc_id") % 7).cast("string"), F.lit("]] "), F.left("text", F.lit(80)), F.lit(" [[/CRITICAL]] "), F.expr("substring(text, 81)"), F.lit(" [[critical: open"))
+    return documents(spark, sf).select("doc_id", text.alias("text"))
+
+
+@query(rf"""WITH {_MARKED_ALL_SQL}, b AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?is)\[\[\s*critical\s*:\s*[^\]\n]+?\s*\]\].*?\[\[\s*/\s*critical\s*\]\]')) AS b FROM marked)
+SELECT doc_id, trim(regexp_extract(b, '(?is)\[\[\s*critical\s*:\s*([^\]\n]+?)\s*\]\]', 1)) AS title, md5(trim(regexp_replace(b, '(?is)\[\[\s*critical\s*:\s*[^\]\n]+?\s*\]\]|\[\[\s*/\s*critical\s*\]\]', '', 'g'), ' ')) AS digest FROM b""")
+def critical_blocks_all(spark, sf):
+    return _marked_all(spark, sf).select("doc_id", F.explode(chunking.critical_blocks(F.col("text"))).alias("b")).select("doc_id", "b.title", F.md5("b.body").alias("digest"))
+
+
+@query(rf"""WITH {_MARKED_ALL_SQL} SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(trim(regexp_replace(text, '(?is)\[\[\s*critical\s*:\s*[^\]\n]+?\s*\]\]|\[\[\s*/\s*critical\s*\]\]', '', 'g'), ' ')) AS digest FROM marked""")
+def critical_strip_all(spark, sf):
+    return _marked_all(spark, sf).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(chunking.strip_marks(F.col("text"))).alias("digest"))
+
+
 @query()
 def critical_chunks(spark, sf):
-    """Hybrid chunks of marked texts; a test holds them against a Python walk."""
-    return chunking.hybrid_windows(_marked(spark, sf))
+    """Hybrid chunks of marked whole texts; a test holds them against a Python walk."""
+    return chunking.hybrid_windows(_marked_all(spark, sf))
 
 
 # --- BM25 and fusion -------------------------------------------------------------------------------------------------

@@ -1,16 +1,17 @@
 """Licence scan: sparse TF-IDF cosine of statements to templates, then inheritance along directories.
 
-A file is a row with a path. Its statements are the lines that hold an anchor word, the sentences with one of lines
-over LINE_WORDS words, and the whole text when it has at most WHOLE_WORDS words and more than one such line. Each
-distinct statement is weighed by TF-IDF (idf over the templates) and compared with every template by cosine; at
-THRESHOLD or more and with MIN_TERMS shared terms the best template is the statement's licence.
+A file is a row with a path. Its statements are its lines, the sentences of those over LINE_WORDS words, and the whole
+text when it has at most WHOLE_WORDS words and more than one line. Each distinct statement is weighed by TF-IDF (idf
+over the templates) and compared with every template by cosine; at THRESHOLD or more and with MIN_TERMS shared terms the
+best template is the statement's licence. No statement is left out before that: those that cannot reach the threshold
+are told by their own length in the terms of the templates.
 
 A file's own licence is the one most of its statements carry. A file without one inherits that of the nearest
 directory above it: the licence that most of the licence files (files of which a statement is a good part) of that
 directory carry.
 
-Everything is DataFrame work: distinct statements are few, directories are counted before they meet the files, and
-ancestors are reached by joins on path prefixes.
+Statements are compared where their text is read, by a pass over Arrow batches, and only licences go on; directories are
+counted before they meet the files, and ancestors are reached by joins on path prefixes.
 
 Cases: a null or empty text has no statement and may inherit; a null path has no directory, so it inherits nothing;
 ties go to the licence that sorts first; repeated rows count as often as they stand; an empty table gives no rows;
@@ -20,11 +21,14 @@ ties go to the licence that sorts first; repeated rows count as often as they st
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch
 
@@ -50,19 +54,11 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-#: Terms of which a statement has one; every template has several.
-ANCHORS = tuple("license licensed licence licenced permission permitted redistribution redistribute copyright unencumbered mozilla apache creative commons gnu bsd mit isc cc cc0 waived affero sharealike noncommercial".split())
 WORD = r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*"
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
-
-
 def weights() -> tuple[list[tuple[str, int, str, float]], dict[str, float]]:
     """(licence, template number, term, unit weight) of the templates, and the idf of each term."""
-    import re
-
     texts = [(name, i, Counter(re.findall(WORD, t.lower()))) for name, ts in TEMPLATES.items() for i, t in enumerate(ts)]
     df = Counter(t for *_, c in texts for t in c)
     idf = {t: math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
@@ -79,40 +75,85 @@ def unknown_idf() -> float:
     return math.log(1 + sum(len(ts) for ts in TEMPLATES.values())) + 1
 
 
-def anchored() -> str:
-    """A regular expression of the anchors, for lower-cased text."""
-    return rf"\b(?:{'|'.join(a.replace('.', chr(92) + '.') for a in ANCHORS)})\b"
-
-
-def statements(files: DataFrame) -> DataFrame:
-    """key, n_words, statement, of each statement of files (key, text)."""
-    text = F.coalesce("text", F.lit(""))
-    has = lambda x: F.lower(x).rlike(anchored())
-    n = F.size(words_of(text))
-    found = files.filter(has(text)).select("key", text.alias("text"), n.alias("n_words"), F.filter(F.split(text, "\n"), has).alias("lines"))
-    long_lines = F.filter("lines", lambda x: F.size(F.split(x, " ")) > LINE_WORDS)
-    sentences = F.filter(F.flatten(F.transform(long_lines, lambda x: F.split(x, r"(?<=[.!?;])\s+"))), has)
-    whole = F.when((F.col("n_words") <= WHOLE_WORDS) & (F.size("lines") > 1), F.array(F.regexp_replace("text", "\n", " "))).otherwise(F.array().cast("array<string>"))
-    # a statement with fewer template terms cannot reach a template; copies of a text meet as their statements only
-    terms = F.array(*[F.lit(t) for t in sorted(weights()[1])])
-    telling = F.filter(F.array_distinct(F.concat("lines", sentences, whole)), lambda x: F.size(F.array_intersect(words_of(x), terms)) >= MIN_TERMS)
-    once = found.select("key", "n_words", telling.alias("statements")).filter(F.size("statements") > 0).dropDuplicates(["key"])
-    return once.select("key", "n_words", F.explode("statements").alias("statement"))
-
-
-def match(distinct: DataFrame) -> DataFrame:
-    """sid, licence, cosine of distinct statements (sid, statement) that reach a template."""
-    spark = distinct.sparkSession
-    rows, idf = weights()
-    templates = spark.createDataFrame(rows, "licence string, template int, term string, w double")  # fixed and small
-    known = spark.createDataFrame(list(idf.items()), "term string, idf double")
-    tf = distinct.select("sid", F.explode(words_of(F.col("statement"))).alias("term")).groupBy("sid", "term").count()
-    weighed = tf.join(F.broadcast(known), "term", "left").withColumn("v", (1 + F.log("count")) * F.coalesce("idf", F.lit(unknown_idf())))
-    norm = weighed.groupBy("sid").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dots = weighed.filter("idf is not null").join(F.broadcast(templates), "term").groupBy("sid", "licence", "template").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.count(F.lit(1)).alias("shared"))
-    cosines = dots.filter(F.col("shared") >= MIN_TERMS).join(norm, "sid").groupBy("sid", "licence").agg(F.max(F.col("dot") / F.col("norm")).alias("cosine"))
-    best = cosines.groupBy("sid").agg(F.min(F.struct((-F.round("cosine", 9)).alias("low"), "licence")).alias("b"))
-    return best.select("sid", F.col("b.licence").alias("licence"), (-F.col("b.low")).alias("cosine")).filter(F.col("cosine") >= THRESHOLD)
+class Scorer:
+    """Cosines of texts to templates, exactly and without a join: what cannot reach the threshold is ruled out by the
+    part of its length that lies in terms no template has."""
+
+    def __init__(self, rows: list[tuple[str, int, str, float]], idf: dict[str, float], unknown: float, threshold: float):
+        self.idf, self.unknown, self.threshold = idf, unknown, threshold
+        self.names = sorted({(name, i) for name, i, *_ in rows})
+        place = {x: j for j, x in enumerate(self.names)}
+        self.by_term: dict[str, list[tuple[int, float]]] = {}
+        for name, i, term, w in rows:
+            self.by_term.setdefault(term, []).append((place[name, i], w))
+
+    def best(self, words: list[str]) -> tuple[str, float] | None:
+        """The licence of the best template and its cosine, if it reaches the threshold with MIN_TERMS shared terms."""
+        idf = self.idf
+        if len(words) < MIN_TERMS or sum(w in idf for w in words) < MIN_TERMS:
+            return None
+        counts = Counter(words)
+        inside, outside = {}, 0.0
+        for term, n in counts.items():
+            v = 1.0 if n == 1 else 1 + math.log(n)
+            if term in idf:
+                inside[term] = v * idf[term]
+            else:
+                outside += v * v
+        if len(inside) < MIN_TERMS:
+            return None
+        known = math.fsum(v * v for v in inside.values())
+        norm2 = known + outside * self.unknown * self.unknown
+        if known < self.threshold * self.threshold * norm2 * (1 - 1e-9):
+            return None
+        dots, shared = [0.0] * len(self.names), [0] * len(self.names)
+        for term in sorted(inside):
+            for j, w in self.by_term[term]:
+                dots[j] += inside[term] * w
+                shared[j] += 1
+        found = [(-round(dots[j] / math.sqrt(norm2), 9), self.names[j][0]) for j in range(len(dots)) if shared[j] >= MIN_TERMS]
+        cosine, name = min(found, default=(0.0, ""))
+        return (name, -cosine) if -cosine >= self.threshold else None
+
+
+def statements(text: str, n_words: int) -> list[str]:
+    """The distinct statements of a text."""
+    lines = [x for x in text.split("\n") if x]
+    sentences = [y for x in lines if len(x.split(" ")) > LINE_WORDS for y in re.split(r"(?<=[.!?;])[ \t\n\r\f\v]+", x)]
+    whole = [text.replace("\n", " ")] if n_words <= WHOLE_WORDS and len(lines) > 1 else []
+    return list(dict.fromkeys(lines + sentences + whole))
+
+
+def own_licences(files: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, path, own, own_cosine, licence_file of files (ids, path, text): what each file's own text says."""
+    kept = files.select(*ids, "path")
+    schema = T.StructType([*kept.schema.fields, T.StructField("own", T.StringType()), T.StructField("own_cosine", T.DoubleType()), T.StructField("licence_file", T.BooleanType())])
+    find = re.compile(WORD).findall
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*weights(), unknown_idf(), THRESHOLD)
+        for batch in batches:
+            out: list[tuple[str | None, float | None, bool | None]] = []
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                n_words = len(find(text.lower()))
+                met: dict[str, list[float]] = {}
+                longest = 0
+                for statement in statements(text, n_words):
+                    words = find(statement.lower())
+                    best = scorer.best(words)
+                    if best is not None:
+                        met.setdefault(best[0], []).append(best[1])
+                        longest = max(longest, len(words))
+                if met:
+                    own = min(met, key=lambda x: (-len(met[x]), x))
+                    out.append((own, max(met[own]), longest >= FILE_SHARE * n_words))
+                else:
+                    out.append((None, None, None))
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*ids, "path")), *columns], schema.names)
+
+    return files.select(*ids, "path", "text").mapInArrow(run, schema)
 
 
 def parent(path: Column) -> Column:
@@ -130,16 +171,7 @@ def most_common(df: DataFrame, key: list[str]) -> DataFrame:
 def scan(files: DataFrame, scratch: Scratch, ids: list[str] | None = None) -> DataFrame:
     """ids, path, licence, cosine (of the statement it comes from), origin ('own', 'inherited' or null), from_directory."""
     ids = ids or []
-    # the key is that of a text: equal texts carry equal licences
-    keyed = files.select(*ids, "path", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
-    said = statements(keyed.select("key", "text")).withColumn("sid", F.md5("statement")).withColumn("words", F.size(words_of(F.col("statement"))))
-    said = scratch.save(said, "statements")
-    carried = said.join(match(said.select("sid", "statement").dropDuplicates(["sid"])), "sid").select("key", "n_words", "words", "licence", "cosine", F.lit(1).alias("n"))
-    own = most_common(carried, ["key"])
-    share = carried.groupBy("key").agg((F.max("words") >= FILE_SHARE * F.max("n_words")).alias("licence_file"))
-    own = own.join(share, "key").select("key", F.col("licence").alias("own"), F.col("cosine").alias("own_cosine"), "licence_file")
-    # files come to the few that carry a licence; all others keep nulls
-    known = keyed.drop("text").join(own, "key", "left").drop("key")
+    known = scratch.save(own_licences(files, ids), "own")
     directory = parent(F.col("path"))
     files_of = known.filter("licence_file").groupBy(directory.alias("d"), F.col("own").alias("licence")).agg(F.count(F.lit(1)).alias("n"), F.max("own_cosine").alias("cosine")).filter("d is not null")
     given = most_common(files_of, ["d"]).select(F.col("d").alias("a"), F.col("licence").alias("dir_licence"), F.col("cosine").alias("dir_cosine"))

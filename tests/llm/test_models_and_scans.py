@@ -241,6 +241,17 @@ def test_every_template_reaches_itself(spark):
     assert licences.scan(spark.createDataFrame([], "path string, text string"), Scratch(spark, "t")).count() == 0
 
 
+def test_statements_need_no_picked_word(spark):
+    said = {
+        "u/a": ("This software is released into the public domain.", "Unlicense"),
+        "u/b": ("This is free software released into the public domain.", "Unlicense"),
+        "b/a": ("Neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software", "BSD-3-Clause"),
+        "u/c": ("/*_this_is_free_and_unencumbered_software_released_into_the_public_domain_*/", "Unlicense"),
+    }
+    files = spark.createDataFrame([(p, t) for p, (t, _) in said.items()], "path string, text string")
+    assert {r.path: r.licence for r in licences.scan(files, Scratch(spark, "t")).collect()} == {p: n for p, (_, n) in said.items()}
+
+
 # --- quality
 
 

@@ -6,9 +6,12 @@ over the templates) and compared with every template by cosine; at THRESHOLD or
 best template is the statement's licence. No statement is left out before that: those that cannot reach the threshold
 are told by their own length in the terms of the templates.
 
-A file's own licence is the one most of its statements carry. A file without one inherits that of the nearest
-directory above it: the licence that most of the licence files (files of which a statement is a good part) of that
-directory carry.
+A text of any length is compared as a whole with full licence texts too, and is a licence file at FULL_THRESHOLD or more.
+An SPDX tag counts as a statement, of cosine 1, for each licence that it names.
+
+A file's own licence is that of the full text it is, or the one most of its statements carry. A file without one
+inherits that of the nearest directory above it: the licence that most of the licence files (full licence texts, and
+files of which a statement is a good part) of that directory carry.
 
 Statements are compared where their text is read, by a pass over Arrow batches, and only licences go on; directories are
 counted before they meet the files, and ancestors are reached by joins on path prefixes.
@@ -24,6 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +37,8 @@ from pyspark.sql import types as T
 from .scratch import Scratch
 
 THRESHOLD, MIN_TERMS, LINE_WORDS, WHOLE_WORDS = 0.6, 3, 40, 400
+#: Cosine of a text of any length to a full licence text.
+FULL_THRESHOLD = 0.8
 #: A file is a licence file when its statements have at least this share of its words.
 FILE_SHARE = 0.3
 
@@ -57,9 +63,28 @@ TEMPLATES = {
 WORD = r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*"
 
 
-def weights() -> tuple[list[tuple[str, int, str, float]], dict[str, float]]:
+#: A licence tag in a text, with its expression, and the identifiers in one.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9.\-]*")
+
+
+def full_texts() -> dict[str, tuple[str, ...]]:
+    """The full licence texts, read by the driver. That of AGPL-3.0 is made from GPL-3.0's by its name."""
+    found = {f.name.removesuffix(".txt"): (f.read_text("utf-8"),) for f in (resources.files(__package__) / "licence_texts").iterdir() if f.name.endswith(".txt")}
+    affero = re.sub(r"(?i)gnu general public", "GNU Affero General Public", found["GPL-3.0"][0])
+    return dict(sorted((found | {"AGPL-3.0": (affero,)}).items()))
+
+
+def tagged(text: str) -> list[str]:
+    """The licences that the tags of a text name, once each: 'MIT OR Apache-2.0' names two."""
+    known = {x.lower(): x for x in [*TEMPLATES, "GPL-1.0", "LGPL-2.0", "LGPL-2.1"]}
+    plain = (re.sub(r"-(only|or-later)$", "", x.lower()) for m in SPDX.finditer(text) for x in IDENTIFIER.findall(re.sub(r"(?i)\bwith\s+\S+", "", m[1])))
+    return list(dict.fromkeys(known[x] for x in plain if x in known))
+
+
+def weights(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> tuple[list[tuple[str, int, str, float]], dict[str, float]]:
     """(licence, template number, term, unit weight) of the templates, and the idf of each term."""
-    texts = [(name, i, Counter(re.findall(WORD, t.lower()))) for name, ts in TEMPLATES.items() for i, t in enumerate(ts)]
+    texts = [(name, i, Counter(re.findall(WORD, t.lower()))) for name, ts in templates.items() for i, t in enumerate(ts)]
     df = Counter(t for *_, c in texts for t in c)
     idf = {t: math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
     rows = []
@@ -70,9 +95,9 @@ def weights() -> tuple[list[tuple[str, int, str, float]], dict[str, float]]:
     return rows, idf
 
 
-def unknown_idf() -> float:
+def unknown_idf(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> float:
     """The idf of a term that no template has."""
-    return math.log(1 + sum(len(ts) for ts in TEMPLATES.values())) + 1
+    return math.log(1 + sum(len(ts) for ts in templates.values())) + 1
 
 
 class Scorer:
@@ -129,15 +154,22 @@ def own_licences(files: DataFrame, ids: list[str]) -> DataFrame:
     kept = files.select(*ids, "path")
     schema = T.StructType([*kept.schema.fields, T.StructField("own", T.StringType()), T.StructField("own_cosine", T.DoubleType()), T.StructField("licence_file", T.BooleanType())])
     find = re.compile(WORD).findall
+    full = full_texts()
+    shipped = files.sparkSession.sparkContext.broadcast((*weights(full), unknown_idf(full), FULL_THRESHOLD))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*weights(), unknown_idf(), THRESHOLD)
+        scorer, whole = Scorer(*weights(), unknown_idf(), THRESHOLD), Scorer(*shipped.value)
         for batch in batches:
             out: list[tuple[str | None, float | None, bool | None]] = []
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                n_words = len(find(text.lower()))
-                met: dict[str, list[float]] = {}
+                all_words = find(text.lower())
+                n_words = len(all_words)
+                licence = whole.best(all_words)
+                if licence is not None:
+                    out.append((*licence, True))
+                    continue
+                met: dict[str, list[float]] = {name: [1.0] for name in tagged(text)}
                 longest = 0
                 for statement in statements(text, n_words):
                     words = find(statement.lower())

@@ -252,6 +252,18 @@ def test_statements_need_no_picked_word(spark):
     assert {r.path: r.licence for r in licences.scan(files, Scratch(spark, "t")).collect()} == {p: n for p, (_, n) in said.items()}
 
 
+def test_full_texts_and_tags(spark):
+    full = {n: t for n, (t,) in licences.full_texts().items()}
+    rows = [(f"{n}/LICENSE", t) for n, t in full.items()] + [(f"{n}/src/a.py", "x = 1") for n in full]
+    rows += [("c/LICENSE", "Copyright (c) 2031 A. Holder\n\n" + full["Apache-2.0"].replace("\n", "\r\n")), ("c/d/x.py", "x = 1")]
+    rows += [("t/mit.py", "# SPDX-License-Identifier: MIT\nx = 1"), ("t/apache.py", "// SPDX-License-Identifier: Apache-2.0"), ("t/gpl.c", "/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */"), ("t/nd", "SPDX-License-Identifier: CC-BY-ND-4.0")]
+    got = {r.path: (r.licence, r.origin) for r in licences.scan(spark.createDataFrame(rows, "path string, text string"), Scratch(spark, "t")).collect()}
+    for n in full:
+        assert got[f"{n}/LICENSE"] == (n, "own") and got[f"{n}/src/a.py"] == (n, "inherited")
+    assert got["c/LICENSE"] == ("Apache-2.0", "own") and got["c/d/x.py"] == ("Apache-2.0", "inherited")
+    assert [got[f"t/{x}"][0] for x in ("mit.py", "apache.py", "gpl.c", "nd")] == ["MIT", "Apache-2.0", "GPL-2.0", None]
+
+
 # --- quality
 
 

@@ -112,10 +112,20 @@ def bigram_topk(spark, sf):
     return p.groupBy(F.col("term").alias("first"), "second").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "first", "second").limit(300)
 
 
+@query(f"""WITH {_POS}, s AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, i) AS r FROM pos)
+SELECT s.term AS term, e.term AS near, count(*) AS n FROM s JOIN pos e ON s.doc_id = e.doc_id AND e.i BETWEEN s.i - 3 AND s.i + 3 AND e.i <> s.i WHERE r <= 64 GROUP BY 1, 2 HAVING count(*) > 3""")
+def cooccur_window3_all(spark, sf):
+    """In documents of every language."""
+    return _cooccur(vectors.placed_words(documents(spark, sf)))
+
+
 @query(f"""WITH {_POS}, e AS (SELECT pos.* FROM pos JOIN documents USING (doc_id) WHERE lang = 'en'), s AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, i) AS r FROM e)
 SELECT s.term AS term, e.term AS near, count(*) AS n FROM s JOIN e ON s.doc_id = e.doc_id AND e.i BETWEEN s.i - 3 AND s.i + 3 AND e.i <> s.i WHERE r <= 64 GROUP BY 1, 2 HAVING count(*) > 3""")
 def cooccur_window3(spark, sf):
-    placed = vectors.placed_words(documents(spark, sf).filter("lang = 'en'"))
+    return _cooccur(vectors.placed_words(documents(spark, sf).filter("lang = 'en'")))
+
+
+def _cooccur(placed: DataFrame) -> DataFrame:
     seen = placed.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy("doc_id", "pos"))).filter("r <= 64")
     wanted = seen.select("doc_id", "term", F.explode(F.array(*[F.col("pos") + i for i in (-3, -2, -1, 1, 2, 3)])).alias("pos"))
     return wanted.join(placed.withColumnRenamed("term", "near"), ["doc_id", "pos"]).groupBy("term", "near").agg(F.count(F.lit(1)).alias("n")).filter("n > 3")
@@ -329,6 +339,19 @@ def best_chunk_per_doc(spark, sf):
     return bm25.top(scored, 1, ("doc_id",), tie="chunk_no").select("doc_id", "chunk_no", "score")
 
 
+@query()
+def best_chunk_per_item(spark, sf):
+    """For every benchmark item, each document's chunk with most of its words; a test holds it against plain Python."""
+    chunks = chunking.windows(documents(spark, sf), *chunking.HYBRID)
+    q = benchmark(spark, sf).select("qid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([a-zA-Z0-9]+)"), F.lit(1)), F.lower))).alias("term"))
+    terms = chunks.select("doc_id", "chunk_no", F.explode(F.array_distinct("tokens")).alias("term"))
+    met = terms.join(bm25.small(q), "term").groupBy("qid", "doc_id", "chunk_no").agg(F.count(F.lit(1)).alias("score"))
+    # documents without a word of the item keep their first chunk
+    best = met.groupBy("qid", "doc_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "chunk_no")).alias("b"))
+    pairs = chunks.select("doc_id").distinct().crossJoin(bm25.small(benchmark(spark, sf).select("qid")))
+    return pairs.join(best, ["qid", "doc_id"], "left").select("qid", "doc_id", F.coalesce("b.chunk_no", F.lit(0)).alias("chunk_no"), F.coalesce(-F.col("b.low"), F.lit(0)).cast("long").alias("score"))
+
+
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
 _VEC = "v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS v FROM embeddings)"

@@ -801,12 +801,11 @@ def hybrid_search(spark, sf):
 
 @query()
 def smart_search(spark, sf):
-    asked = benchmark(spark, sf).select("qid", F.concat(F.lit("tell me about "), F.array_join(F.slice(F.split("text", " "), 1, 6), " ")).alias("text"))
+    asked = benchmark(spark, sf).select("qid", F.concat(F.lit("tell me about "), F.col("text")).alias("text"))
     return retrieve.Engine(documents(spark, sf)).smart(asked).select("qid", "doc_id", "rank", F.round("adj_score", 6).alias("adj_score"))
 
 
 @query()
 def ask_grounded(spark, sf):
-    asked = benchmark(spark, sf).select("qid", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
-    out = retrieve.Engine(documents(spark, sf)).ask(asked, lambda prompt: f"{len(prompt)} characters [1].")
+    out = retrieve.Engine(documents(spark, sf)).ask(benchmark(spark, sf), lambda prompt: f"{len(prompt)} characters [1].")
     return out.select("qid", F.round("confidence", 6).alias("confidence"), "abstained", "answer")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from fathomry.llm import archives, class_model, fingerprints, licences, main_text, quality, tiling
+from fathomry.llm import archives, class_model, fingerprints, licences, quality, tiling
 from fathomry.llm.scratch import Scratch
 from tests.llm.test_near_and_graph import brute
 
@@ -146,30 +146,6 @@ def test_each_document_meets_the_next(spark, rows):
         assert got[i].fingerprint == str(fingerprints.Fingerprint.of(t)) and got[i].edited_fingerprint == str(fingerprints.Fingerprint.of(changed))
 
 
-# --- main text
-
-
-def test_frame_is_cut_and_text_decoded():
-    page = '<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><a>x</a></nav><div class="cookie-notice">We use cookies</div><article><h1>T</h1><div class="ad">Buy this thing now and many others today</div><p>One &lt;b&gt;\n &amp; two.</p><form><label>Mail</label></form><aside class="sidebar">Side</aside><p>Two</p><section id="comments"><p>Great</p></section></article><footer>f</footer>'
-    assert main_text.main_text(page) == "T\nOne <b> & two.\nTwo"
-    assert [main_text.main_text(x) for x in (None, "", "   ", "<p>x <b>y", "just text", "<script>if (a<b) {}</script>")] == ["", "", "", "x y", "just text", ""]
-
-
-def test_labelled_pages_are_learned():
-    wrong = 0
-    for page in main_text.LABELLED:
-        inner = "".join(re.findall(r"<!--in-->(.*?)<!--out-->", page, re.S))
-        inner = re.sub(r"</?(?:a|b)>", "", inner).replace("<br>", " ")
-        expected = "\n".join(x for x in (" ".join(b.split()) for b in re.split(r"<[^>]*>", inner)) if x)
-        wrong += main_text.main_text(page) != expected
-    assert wrong <= 0.02 * len(main_text.LABELLED)
-
-
-def test_extraction_keeps_columns(spark):
-    pages = spark.createDataFrame([(1, "u", "<p>a  b</p>", "old"), (2, None, None, None)], "page_id long, url string, html string, other string")
-    assert [tuple(r) for r in main_text.extract(pages).select("page_id", "other", "text", "n_chars").orderBy("page_id").collect()] == [(1, "old", "a b", 3), (2, None, "", 0)]
-
-
 # --- archives
 
 

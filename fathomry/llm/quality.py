@@ -1,22 +1,26 @@
 """Quality selection by importance resampling, with a toxicity test of the same kind.
 
 1. Words and word pairs of a text are hashed to ``BUCKETS``. A generative model of the target (labelled good and not
-   toxic) and one of the raw texts (all of them) are bucket frequencies. A text's log ratio is the mean over its features of
-   log p_target - log p_raw.
-2. The importance of a text is ``SHARPNESS * (log ratio - cut)``; the cut is fitted on the labelled rows so that good
-   ones stay above it. With Gumbel noise drawn from doc_id added, the top k rows are a sample without replacement by
-   importance; k is the number of rows above the cut.
+   toxic) and one of the raw texts (all of them) are bucket frequencies. A text's log importance is the sum over its
+   features of log p_target - log p_raw, scaled to a text of ``LENGTH`` features: the plain sum grows with length, and
+   loses long clean texts of rarer kinds before short junk.
+2. With Gumbel noise drawn from the seed and doc_id added, the k rows with the largest keys are a sample without
+   replacement in proportion to importance. ``k`` is a parameter; where it is None, it is the number of rows that are
+   not toxic and have a log importance above a cut, which is fitted so that labelled good rows stay above it. Labelled
+   texts of one half are scored for that by a target model of the other half, so that they are judged like unseen ones.
 3. Presence models of words in toxic and in other labelled texts give each word a log ratio; a text whose strongest
-   word reaches the fitted cut is toxic and is not kept.
+   word reaches the fitted cut is toxic and is not drawn.
 
 The models are fitted on at most ``LABELLED`` labelled rows (those with the smallest hash of doc_id); raw counts, the
-selection and all scores cover every row.
-
-Cases: a null or wordless text has no features, a log ratio of 0 and no toxic word; a null doc_id has no label and
-draws its noise from its null; repeated rows draw equal noise, so they are kept or dropped together (ties may lift the
-number kept above k); rows with null labels teach nothing; contradicting labels of a doc_id count as bad and toxic;
-without labelled good rows everything that is not toxic is kept; an empty table gives no rows; ``select_quality``
-keeps all columns of its rows and their names may be any but the struct's own ``fathomry_quality``.
+selection and all scores cover every row. The driver holds BUCKETS counts and the words that several toxic ones of the
+labelled rows share. Every text is read by Python twice: for counts, and for scores, which are written out.
+
+Cases: a null or wordless text has no features, a log importance of 0 and no toxic word; a null doc_id has no label and
+draws its noise from its null; rows of one doc_id draw equal noise, so repeated rows have equal keys and are kept or
+dropped together (equal keys at the end of the sample may lift the number kept above k); a k of at least the number of
+rows keeps all that are not toxic, 0 keeps none; rows with null labels teach nothing; contradicting labels of a doc_id
+count as bad and toxic; without labelled good rows every log importance is 0 and everything that is not toxic is kept;
+an empty table gives no rows; ``select_quality`` keeps all columns of its rows, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,13 +36,13 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .words import Words, chunks, mix, shingles, split
 
-BUCKETS, LABELLED, SHARPNESS, SEED = 1 << 16, 20_000, 400.0, 20240229
+BUCKETS, LENGTH, LABELLED, SEED = 1 << 16, 100, 20_000, 20240229
 #: Lost good rows weigh this much against kept bad ones when cuts are fitted.
 GOOD_WEIGHT = 20.0
-#: A toxic word stands in at least so many labelled toxic texts, and at most so many words are kept.
-TOXIC_SUPPORT, TOXIC_WORDS = 3, 20_000
-PRIOR = 0.1 * BUCKETS
-COLUMN = "fathomry_quality"
+#: A toxic word stands in at least so many labelled toxic texts.
+TOXIC_SUPPORT = 3
+#: Counts that a bucket's target model has beforehand, at the raw rate.
+PRIOR = 2.0
 
 
 class Model(NamedTuple):
@@ -65,20 +69,24 @@ def labelled_rows(labels: DataFrame, most: int = LABELLED) -> DataFrame:
 
 
 def bucket_counts(docs: DataFrame) -> DataFrame:
-    """bucket, raw, target: feature counts of docs (text, target)."""
+    """bucket, raw, one, two: feature counts of docs (text, half): of all, and of those whose half is 1 or 2."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS), np.int64)
+        sums = np.zeros((3, BUCKETS), np.int64)
         for batch in batches:
-            goal = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+            half = batch.column("half").to_numpy()
             for first, end, raw, offsets in chunks(batch.column("text")):
                 bucket, owner = features(split(raw, offsets))
                 sums[0] += np.bincount(bucket, minlength=BUCKETS)
-                sums[1] += np.bincount(bucket[goal[first:end][owner]], minlength=BUCKETS)
+                for i in (1, 2):
+                    chosen = half[first:end] == i
+                    if chosen.any():
+                        sums[i] += np.bincount(bucket[chosen[owner]], minlength=BUCKETS)
         some = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[0][some]), pa.array(sums[1][some])], ["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in sums)], ["bucket", "raw", "one", "two"])
 
-    return docs.select("text", "target").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = docs.select("text", "half").mapInArrow(count, "bucket long, raw long, one long, two long")
+    return counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "one", "two")])
 
 
 def word_presence(docs: DataFrame) -> DataFrame:
@@ -101,10 +109,12 @@ def word_presence(docs: DataFrame) -> DataFrame:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Bucket log ratios; the target is smoothed towards the raw frequencies, so an unseen bucket is neutral in neither."""
-    p_raw = (raw + 1e-9) / max(raw.sum(), 1)
-    p_target = (target + PRIOR * p_raw) / (target.sum() + PRIOR)
-    return np.where(raw > 0, np.log(p_target) - np.log(p_raw), 0.0)
+    """Bucket log ratios. A bucket's target rate is drawn to its raw rate by PRIOR counts, so that a bucket of which few
+    target features are expected says little when it has none."""
+    p_raw = raw / max(raw.sum(), 1)
+    expected = target.sum() * p_raw
+    p_target = p_raw * (target + PRIOR) / (expected + PRIOR)
+    return np.where(raw > 0, np.log((target + PRIOR) / (expected + PRIOR)) - np.log(max(p_target.sum(), 1e-300)), 0.0)
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, default: float) -> float:
@@ -119,9 +129,9 @@ def best_cut(good: np.ndarray, bad: np.ndarray, default: float) -> float:
 
 
 def judge(model: Model) -> Column:
-    """The scores of text: log_ratio, n_features, toxic_ratio."""
+    """The scores of text: log_importance, n_features, toxic_ratio."""
 
-    @F.arrow_udf("log_ratio double, n_features long, toxic_ratio double")
+    @F.arrow_udf("log_importance double, n_features long, toxic_ratio double")
     def run(texts: pa.Array) -> pa.Array:
         out: list[list[np.ndarray]] = [[], [], []]
         for first, end, raw, offsets in chunks(texts):
@@ -129,7 +139,7 @@ def judge(model: Model) -> Column:
             words = split(raw, offsets)
             bucket, owner = features(words)
             size = np.bincount(owner, minlength=n)
-            out[0].append(np.bincount(owner, weights=model.ratio[bucket], minlength=n) / np.maximum(size, 1))
+            out[0].append(np.bincount(owner, weights=model.ratio[bucket], minlength=n) * (LENGTH / np.maximum(size, 1)))
             out[1].append(size)
             worst = np.full(n, -np.inf)
             if len(model.toxic_hash):
@@ -138,7 +148,7 @@ def judge(model: Model) -> Column:
                 np.maximum.at(worst, np.searchsorted(words.bounds, hit, "right") - 1, model.toxic_ratio[i[hit]])
             out[2].append(worst)
         flat = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int64)), pa.array(flat[2])], ["log_ratio", "n_features", "toxic_ratio"])
+        return pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int64)), pa.array(flat[2])], ["log_importance", "n_features", "toxic_ratio"])
 
     # a filter on the scores must not be pushed below them, which would run Python twice in a task
     return run.asNondeterministic()(F.coalesce("text", F.lit("")))
@@ -148,39 +158,47 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = LABELL
     """The models and cuts; docs (doc_id, text), labels (doc_id, quality, toxic)."""
     known = scratch.save(labelled_rows(labels, most), "labelled")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    first_half = F.xxhash64("text") % 2 == 0
     # at most ``most`` rows of a number and two flags
-    marked = narrow.join(F.broadcast(known), "doc_id", "left").withColumn("target", F.coalesce(F.col("good") & ~F.col("toxic"), F.lit(False)))
+    target = F.coalesce(F.col("good") & ~F.col("toxic"), F.lit(False))
+    marked = narrow.join(F.broadcast(known), "doc_id", "left").withColumn("half", F.when(target & first_half, 1).when(target, 2).otherwise(0))
     got = bucket_counts(marked).toArrow()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[got["bucket"].to_numpy()] = got["raw"].to_numpy()
-    target[got["bucket"].to_numpy()] = got["target"].to_numpy()
-    ratio = log_ratio(target, raw) if target.sum() else np.zeros(BUCKETS)
+    counts = np.zeros((3, BUCKETS))
+    for i, c in enumerate(("raw", "one", "two")):
+        counts[i, got["bucket"].to_numpy()] = got[c].to_numpy()
+    raw, one, two = counts
+    some = one.sum() + two.sum() > 0
+    ratio = log_ratio(one + two, raw) if some else np.zeros(BUCKETS)
     sample = scratch.save(narrow.join(F.broadcast(known), "doc_id"), "sample")
 
     def toxic_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         n_toxic, n_other = rows.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
         lift = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
-        found = word_presence(rows).filter(F.col("toxic") >= TOXIC_SUPPORT).withColumn("lift", lift).filter("lift > 1").orderBy(F.col("lift").desc(), "h").limit(TOXIC_WORDS).toArrow()
+        found = word_presence(rows).filter(F.col("toxic") >= TOXIC_SUPPORT).withColumn("lift", lift).filter("lift > 1").toArrow()
         h, r = found["h"].to_numpy().view(np.uint64), found["lift"].to_numpy().astype(float)
         order = np.argsort(h)
         return h[order], r[order]
 
-    # the cuts are fitted with words of one half of the texts on the other half
-    half = F.xxhash64("text") % 2 == 0
-    fold = Model(ratio, 0.0, *toxic_words(sample.filter(half)), 0.0)
-    tried = sample.filter(~half).withColumn("s", judge(fold)).select("s.*", "good", "toxic").toArrow()
-    good, toxic = (tried[c].to_numpy().astype(bool) for c in ("good", "toxic"))
-    score, worst = tried["log_ratio"].to_numpy(), np.maximum(tried["toxic_ratio"].to_numpy(), -1e3)
-    cut = best_cut(score[good], score[~good], -np.inf if not target.sum() else float(score.min(initial=0.0)))
+    # each half is scored by the models of the other, and a text with many copies counts once
+    once = scratch.save(sample.groupBy("text").agg(F.min("good").alias("good"), F.max("toxic").alias("toxic")), "once")
+    tried = []
+    for half, goal in ((first_half, two), (~first_half, one)):
+        fold = Model(log_ratio(goal, raw) if goal.sum() else np.zeros(BUCKETS), 0.0, *toxic_words(sample.filter(~F.coalesce(half, F.lit(True)))), 0.0)
+        tried.append(once.filter(F.coalesce(half, F.lit(True))).withColumn("s", judge(fold)).select("s.*", "good", "toxic").toArrow())
+    good, toxic, score, worst = (np.concatenate([t[c].to_numpy() for t in tried]) for c in ("good", "toxic", "log_importance", "toxic_ratio"))
+    good, toxic, worst = good.astype(bool), toxic.astype(bool), np.maximum(worst, -1e3)
+    cut = best_cut(score[good & ~toxic], score[~good & ~toxic], float(score.min(initial=0.0)) - 1.0 if some else -np.inf)
     toxic_cut = -best_cut(-worst[~toxic], -worst[toxic], -np.inf)
     return Model(ratio, cut, *toxic_words(sample), max(toxic_cut, 1.0))
 
 
 def kth_largest(scored: DataFrame, column: str, k: int, rounds: int = 5, bins: int = 1024) -> float:
     """A value that at least k rows reach, next to the k-th largest one; each round sends at most bins counts to the driver."""
-    low, high = scored.agg(F.min(column), F.max(column)).first()
-    if low is None or k >= scored.count():
+    low, high, n = scored.agg(F.min(column), F.max(column), F.count(column)).first()
+    if low is None or k >= n:
         return -np.inf
+    if k < 1:
+        return np.inf
     above = 0
     for _ in range(rounds):
         width = (high - low) / bins
@@ -196,30 +214,42 @@ def kth_largest(scored: DataFrame, column: str, k: int, rounds: int = 5, bins: i
     return low - abs(low) * 1e-12
 
 
-def importance(model: Model) -> Column:
-    drawn = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    cut = model.cut if np.isfinite(model.cut) else -1e3
-    return SHARPNESS * (F.col(f"{COLUMN}.log_ratio") - cut) - F.log(-F.log(drawn))
+def gumbel_key(importance: Column, seed: int) -> Column:
+    """log importance and Gumbel noise drawn from the seed and doc_id."""
+    drawn = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return importance - F.log(-F.log(drawn))
+
+
+def with_scores(docs: DataFrame, model: Model, column: str, seed: int = SEED) -> DataFrame:
+    """docs with the struct column: log_importance, n_features, toxic_ratio, toxic, key."""
+    judged = docs.withColumn(column, judge(model))
+    toxic = F.col(f"{column}.toxic_ratio") >= model.toxic_cut
+    return judged.withColumn(column, F.struct(f"{column}.*", toxic.alias("toxic"), gumbel_key(F.col(f"{column}.log_importance"), seed).alias("key")))
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the struct COLUMN: log_ratio, n_features, toxic_ratio, toxic, key."""
-    judged = docs.withColumn(COLUMN, judge(model))
-    toxic = F.col(f"{COLUMN}.toxic_ratio") >= model.toxic_cut
-    return judged.withColumn(COLUMN, F.struct(f"{COLUMN}.*", toxic.alias("toxic"), importance(model).alias("key")))
+def last_key(scores: DataFrame, model: Model, k: int | None) -> float:
+    """The key of the last row drawn of scores (log_importance, key, toxic)."""
+    clean = scores.filter("not toxic")
+    if k is None:
+        k = clean.filter(F.col("log_importance") >= model.cut).count()
+    return kth_largest(clean, "key", k)
 
 
-def threshold(docs: DataFrame, model: Model, scratch: Scratch) -> float:
-    """The key of the last row kept: of rows that are not toxic, as many are kept as have a log ratio above the cut."""
-    keys = scratch.save(with_scores(docs.select("doc_id", "text"), model).select(f"{COLUMN}.*").filter("not toxic").select("key", "log_ratio"), "keys")
-    return kth_largest(keys, "key", keys.filter(F.col("log_ratio") >= model.cut).count())
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+def select_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of docs that are drawn, with all their columns."""
     model = fit(docs, labels, scratch)
-    least = threshold(docs, model, scratch)
-    return with_scores(docs, model).filter((F.col(f"{COLUMN}.key") >= least) & ~F.col(f"{COLUMN}.toxic")).drop(COLUMN)
+    column = unused("fathomry_quality", docs.columns)
+    scored = scratch.save(with_scores(docs, model, column, seed), "scored")
+    least = last_key(scored.select(f"{column}.*"), model, k)
+    return scored.filter((F.col(f"{column}.key") >= least) & ~F.col(f"{column}.toxic")).drop(column)
 
 
 def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +257,7 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scratch = Scratch(spark, "op2")
     model = fit(docs, labels, scratch)
-    least = threshold(docs, model, scratch)
-    out = with_scores(docs.select("doc_id", "text"), model).select("doc_id", f"{COLUMN}.*")
+    scores = scratch.save(with_scores(docs.select("doc_id", "text"), model, "q").select("doc_id", "q.*"), "scores")
+    least = last_key(scores, model, None)
     clean = F.when(F.col("toxic_ratio") > -1e3, F.col("toxic_ratio"))
-    return out.select("doc_id", "n_features", "log_ratio", F.col("key").alias("gumbel_key"), clean.alias("toxic_ratio"), "toxic", ((F.col("key") >= least) & ~F.col("toxic")).alias("kept"))
+    return scores.select("doc_id", "n_features", "log_importance", F.col("key").alias("gumbel_key"), clean.alias("toxic_ratio"), "toxic", ((F.col("key") >= least) & ~F.col("toxic")).alias("kept"))

@@ -19,7 +19,8 @@ Cases: a null or wordless text has no features, a log importance of 0 and no tox
 draws its noise from its null; rows of one doc_id draw equal noise, so repeated rows have equal keys and are kept or
 dropped together (equal keys at the end of the sample may lift the number kept above k); a k of at least the number of
 rows keeps all that are not toxic, 0 keeps none; rows with null labels teach nothing; contradicting labels of a doc_id
-count as bad and toxic; without labelled good rows every log importance is 0 and everything that is not toxic is kept;
+count as bad and toxic; without labelled good rows every log importance is 0; without labelled good or without labelled bad rows there is no
+cut, and everything that is not toxic is kept;
 an empty table gives no rows; ``select_quality`` keeps all columns of its rows, whatever their names.
 """
 
@@ -187,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = LABELL
         tried.append(once.filter(F.coalesce(half, F.lit(True))).withColumn("s", judge(fold)).select("s.*", "good", "toxic").toArrow())
     good, toxic, score, worst = (np.concatenate([t[c].to_numpy() for t in tried]) for c in ("good", "toxic", "log_importance", "toxic_ratio"))
     good, toxic, worst = good.astype(bool), toxic.astype(bool), np.maximum(worst, -1e3)
-    cut = best_cut(score[good & ~toxic], score[~good & ~toxic], float(score.min(initial=0.0)) - 1.0 if some else -np.inf)
+    cut = best_cut(score[good & ~toxic], score[~good & ~toxic], -np.inf)
     toxic_cut = -best_cut(-worst[~toxic], -worst[toxic], -np.inf)
     return Model(ratio, cut, *toxic_words(sample), max(toxic_cut, 1.0))
 

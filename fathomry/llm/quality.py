@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, unused
 from .words import Words, chunks, mix, shingles, split
 
 BUCKETS, LENGTH, LABELLED, SEED = 1 << 16, 100, 20_000, 20240229
@@ -236,14 +236,6 @@ def last_key(scores: DataFrame, model: Model, k: int | None) -> float:
     return kth_largest(clean, "key", k)
 
 
-def unused(name: str, columns: list[str]) -> str:
-    """A column name that no column has, in any case."""
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def select_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, k: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows of docs that are drawn, with all their columns."""
     model = fit(docs, labels, scratch)

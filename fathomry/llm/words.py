@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_of(base: np.uint64, n: int) -> np.ndarray:
+def powers_of(base: np.uint64, n: int) -> np.ndarray:
     key = str(int(base))
     have = _powers.get(key)
     if have is None or len(have) < n:
@@ -93,10 +93,10 @@ def split(raw: np.ndarray, offsets: np.ndarray) -> Words:
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     bounds = np.searchsorted(starts, offsets, "left")
     total = np.zeros(len(data) + 1, np.uint64)
-    powers = _powers_of(BASE, len(data) + 1)
+    powers = powers_of(BASE, len(data) + 1)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=total[1:])
     sums = total[ends] - total[starts]
-    hashes = mix(sums * _powers_of(BASE_INVERSE, len(data) + 1)[starts] ^ (ends - starts).astype(np.uint64))
+    hashes = mix(sums * powers_of(BASE_INVERSE, len(data) + 1)[starts] ^ (ends - starts).astype(np.uint64))
     return Words(hashes, starts, ends, bounds, data)
 
 

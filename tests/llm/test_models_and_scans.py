@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from fathomry.llm import archives, class_model, fingerprints, licences, quality, tiling
+from fathomry.llm import archives, class_model, fingerprints, licences, quality
 from fathomry.llm.scratch import Scratch
 from tests.llm.test_near_and_graph import brute
 
@@ -284,58 +284,6 @@ def test_without_labels_nothing_but_all_is_kept(spark):
     assert quality.select_quality(docs.limit(0), none, Scratch(spark, "t")).count() == 0
 
 
-# --- tiling
-
-
-def brute_tiles(item, text, k):
-    """Greedy string tiling by comparing every place with every place."""
-    a, b, tiles = [False] * len(item), [False] * len(text), 0
-    while True:
-        best, found = k, []
-        for p in range(len(item)):
-            for t in range(len(text)):
-                j = 0
-                while p + j < len(item) and t + j < len(text) and item[p + j] == text[t + j] and not a[p + j] and not b[t + j]:
-                    j += 1
-                if j > best:
-                    best, found = j, [(p, t)]
-                elif j == best:
-                    found.append((p, t))
-        if not found:
-            return tiles
-        for p, t in found:
-            if not any(a[p : p + best]) and not any(b[t : t + best]):
-                a[p : p + best] = b[t : t + best] = [True] * best
-                tiles += best
-
-
-def test_tiles_cover_as_much_as_brute_force(spark):
-    rng = random.Random(6)
-    item = [rng.choice("abcdefgh") for _ in range(40)]
-    rows = []
-    for i in range(25):
-        parts = [item[j : j + 8] for j in range(0, 40, 8)]
-        rng.shuffle(parts)
-        text = [w for p in parts[: rng.randint(0, 5)] for w in [*p, *(rng.choice("xyzabc") for _ in range(3))]]
-        rows.append((i, " ".join(text).upper()))
-    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-    got = spark.createDataFrame(rows, DOCS).select("doc_id", tiling.all_tiles(bench).alias("t")).collect()
-    for r in got:
-        expected = brute_tiles(item, rows[r.doc_id][1].lower().split(), tiling.MIN_MATCH) / 40
-        assert math.isclose(r.t[0].coverage if r.t else 0.0, expected, abs_tol=0.15)  # equal lengths may be marked in another order
-
-
-def test_reordered_and_short_items(spark):
-    b = " ".join(f"w{i}" for i in range(40))
-    turned = " ".join(b.split()[20:] + ["x"] + b.split()[:20])
-    bench = spark.createDataFrame([(1, b), (2, "short one"), (None, None), (3, "")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, turned, 0), (2, "a Short ONE here", 0), (3, "short", 0), (4, None, 0), (5, "", 0), (6, " ".join(b.split()[:25]), 0)], DOCS + ", tiles int")
-    kept = tiling.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
-    assert tiling.decontaminate(docs, bench.limit(0)).count() == 6 and tiling.decontaminate(docs.limit(0), bench).count() == 0
-    assert len(tiling.blocks_of(bench, most_words=30)) > 1
-
-
 # --- pipeline
 
 

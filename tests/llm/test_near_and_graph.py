@@ -93,3 +93,47 @@ def test_min_and_max_are_those_of_every_function():
     x = np.random.default_rng(1).integers(0, 1 << 63, 50, np.uint64)
     each = [(x * p + q) for p, q in zip(a, b, strict=True)]
     assert near.min_max(x, a, b).tolist() == [e.min() for e in each] + [e.max() for e in each]
+
+
+def test_shared_counts_are_those_of_intersections(monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for common in (2, 5, 64):
+        monkeypatch.setattr(near, "COMMON", common)
+        own = [np.unique(draw.integers(0, 60, draw.integers(1, 50))) for _ in range(25)]
+        got = near.shared_counts(own)
+        assert all(got[i, j] == len(np.intersect1d(own[i], own[j])) for i in range(25) for j in range(25) if i != j)
+
+
+def test_rows_of_one_id_are_in_one_component(spark):
+    rows = [(5, "a b c d"), (3, "a b c d"), (5, "w x y z"), (5, ""), (9, "w x y z"), (8, "q r s"), (8, None), (7, "other words here"), (7, "more of other words"), (2, "more of other words")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, cid int, label int")
+    got = near.near_duplicates(docs, Scratch(spark, "t"), 2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (3, 3), (5, 3), (5, 3), (5, 3), (7, 2), (7, 2), (8, 8), (8, 8), (9, 3)]
+    assert {(r.doc_id, r.kept) for r in got} == {(2, True), (3, True), (5, False), (7, False), (8, True), (9, False)}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_recall_on_a_table(spark, k):
+    """All links of brute force at sf0.01 are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingle_set(r.text, k) for r in docs.collect()}
+    posts, shared, parent = {}, {}, {i: i for i in sets}
+    for i, own in sets.items():
+        for x in own:
+            for j in posts.setdefault(x, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            posts[x].append(i)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = near.near_duplicates(docs, Scratch(spark, "t"), k).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}

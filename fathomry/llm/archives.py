@@ -8,10 +8,12 @@ that names the fields of the URL records of that version (both are read from the
 
 Each record is a header line, as many bytes as the line declares, and a line feed. The converter makes for each one a
 WARC record with a name-based identifier (from archive, offset and URL), a WARC-Date from the 14-digit archive date,
-a type, and SHA-1 digests of block and payload. Members are compressed one by one, so any record can be read alone.
+a type, and SHA-1 digests of block and payload. The version block becomes a warcinfo record, a block that opens with an
+HTTP status line a response (or a revisit), any other a resource of its declared content type. Members are compressed
+one by one, so any record can be read alone. Each archive is written, indexed and converted by a task of its own.
 
 Of records with equal payloads of at least ``MIN_REVISIT`` bytes, the one with the largest page id is the response and
-the others revisit it; smaller payloads are always responses.
+the others revisit it and name its identifier, URI and date; smaller payloads are always responses.
 
 Cases: null html is an empty payload; a null url becomes ``urn:page:<id>``, blanks and controls in a url are percent-
 encoded and ``WARC-Target-URI`` keeps that form; a null page id is kept, comes before all others, and never is what
@@ -31,14 +33,15 @@ from collections.abc import Iterable, Iterator
 from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, open_store, plan_bytes
 
 MIN_REVISIT = 1000
+#: Payloads with copies, a row each, go to every executor up to this size, beyond it by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: The field names of the two record versions.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -46,7 +49,8 @@ FIELDS = {
 }
 _UNSAFE = re.compile(r"[\x00-\x20\x7f-￿\U00010000-\U0010ffff]")
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:fathomry:arc")
-PAGE_FIELD = "X-Page-Id"
+#: Fields of this library, beside the standard ones: the page of a record, and of the one it revisits; its full length.
+PAGE_FIELD, ORIGINAL_FIELD, LENGTH_FIELD = "X-Page-Id", "X-Refers-To-Page-Id", "X-Payload-Length"
 
 
 def safe_url(url: str | None, page_id: int | None) -> str:
@@ -73,8 +77,9 @@ def arc_record(version: int, name: str, offset: int, url: str, date: str, block:
 
 
 def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
-    """Records of an uncompressed ARC stream, without the version block. The version line says which fields a header
-    line has; the length is its last field, and blanks inside the URL do not matter, since fields count from the end."""
+    """Records of an uncompressed ARC stream; the first is the version block, whose URL is ``filedesc://``. Its second line
+    says which fields a header line has; the length is its last field, and blanks inside the URL do not matter, since
+    fields count from the end."""
     offset, names = 0, None
     while line := stream.readline():
         if not line.strip():
@@ -88,6 +93,8 @@ def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
             names = field_line.decode("latin-1").split() or FIELDS[version].split()
             if version not in FIELDS or names != FIELDS[version].split():
                 raise ValueError(f"unknown ARC version block {body[:80]!r}")
+            head = line.rstrip(b"\n").decode("latin-1").rsplit(" ", len(names) - 1)
+            yield ArcRecord(offset, dict(zip(names, head, strict=True)), body)
             offset += len(line) + length
             continue
         parts = line.rstrip(b"\n").decode("latin-1").rsplit(" ", len(names) - 1)
@@ -127,23 +134,50 @@ def sha1_base32(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def warc_record(archive: str, record: ArcRecord, refers_to: int | None) -> bytes:
-    """The WARC record of an ARC record; with refers_to, a revisit of that page without the payload."""
+class Original(NamedTuple):
+    """The record that a revisit refers to."""
+
+    page_id: int
+    record_id: str
+    url: str
+    date: str
+
+
+def kind_of(record: ArcRecord) -> str:
+    """warcinfo, response or resource."""
+    if record.fields["URL"].startswith("filedesc:"):
+        return "warcinfo"
+    return "response" if record.block.startswith(b"HTTP/") else "resource"
+
+
+def warc_record(archive: str, record: ArcRecord, original: Original | None = None) -> bytes:
+    """The WARC record of an ARC record; with an original, a revisit of it without the payload."""
+    kind, url = kind_of(record), record.fields["URL"]
     head, payload = split_http(record.block)
-    url = record.fields["URL"]
+    block = record.block
     fields = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Type", kind if original is None else "revisit"),
         ("WARC-Record-ID", record_id(archive, record.offset, url)),
-        ("WARC-Target-URI", url),
         ("WARC-Date", warc_date(record.fields["Archive-date"])),
-        ("WARC-IP-Address", record.fields["IP-address"]),
-        ("WARC-Payload-Digest", sha1_base32(payload)),
     ]
-    block = record.block
-    if refers_to is not None:
+    if kind == "warcinfo":
+        about = {"software": "fathomry", "format": "WARC File Format 1.1", "conformsTo": "http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/", "description": f"converted from {archive}, {record.block.splitlines()[0].decode('latin-1')}"}
+        block = "".join(f"{k}: {v}\r\n" for k, v in about.items()).encode()
+        fields += [("WARC-Filename", archive.removesuffix(".gz").removesuffix(".arc") + ".warc.gz")]
+    else:
+        fields += [("WARC-Target-URI", url), ("WARC-IP-Address", record.fields["IP-address"]), ("WARC-Payload-Digest", sha1_base32(payload))]
+    if original is not None:
         block = head
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page", str(refers_to)), ("WARC-Payload-Length", str(len(payload)))]
-    fields += [("WARC-Block-Digest", sha1_base32(block)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", original.record_id),
+            ("WARC-Refers-To-Target-URI", original.url),
+            ("WARC-Refers-To-Date", original.date),
+            (ORIGINAL_FIELD, str(original.page_id)),
+            (LENGTH_FIELD, str(len(payload))),
+        ]
+    content = {"warcinfo": "application/warc-fields", "response": "application/http; msgtype=response", "resource": record.fields["Content-type"]}[kind]
+    fields += [("WARC-Block-Digest", sha1_base32(block)), ("Content-Type", content), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -169,17 +203,17 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _store(folder: str):
-    store, base = pafs.FileSystem.from_uri(folder)
-    store.create_dir(base, recursive=True)
-    return store, base
-
-
 def _read(path: str) -> BinaryIO:
-    store, at = pafs.FileSystem.from_uri(path)
+    store, at = open_store(path)
     return io.BufferedReader(gzip.GzipFile(fileobj=store.open_input_file(at)))
 
 
+def _new(folder: str, name: str):
+    store, base = open_store(folder)
+    store.create_dir(base, recursive=True)
+    return store.open_output_stream(f"{base}/{name}", compression=None)
+
+
 def write_arcs(pages: DataFrame, scratch: Scratch, date: str = "20240101000000") -> DataFrame:
     """One ARC file for each partition of pages (page_id, url, html), versions 1 and 2 in turn; path, records."""
     folder = f"{scratch.path}/arc"
@@ -191,8 +225,7 @@ def write_arcs(pages: DataFrame, scratch: Scratch, date: str = "20240101000000")
         for batch in batches:
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    store, base = _store(folder)
-                    out = store.open_output_stream(f"{base}/{name}", compression=None)
+                    out = _new(folder, name)
                     data = arc_version_block(name, version, date)
                     out.write(member(data))
                     offset = len(data)
@@ -216,7 +249,7 @@ def page_of(head: bytes) -> int | None:
 
 
 def arc_index(paths: DataFrame) -> DataFrame:
-    """path, offset, page_id, digest and length of the payload of every ARC record."""
+    """path, offset, url, date, page_id, digest and length of the payload of every ARC record that has an HTTP header."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,13 +257,14 @@ def arc_index(paths: DataFrame) -> DataFrame:
                 rows = []
                 with _read(path) as f:
                     for r in read_arc(f):
-                        head, payload = split_http(r.block)
-                        rows.append((path, r.offset, page_of(head), hashlib.sha1(payload).hexdigest(), len(payload)))
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "offset", "page_id", "digest", "length"])
+                        if kind_of(r) == "response":
+                            head, payload = split_http(r.block)
+                            rows.append((path, r.offset, r.fields["URL"], warc_date(r.fields["Archive-date"]), page_of(head), hashlib.sha1(payload).hexdigest(), len(payload)))
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "offset", "url", "date", "page_id", "digest", "length"])
 
-    return paths.select("path").repartition(max(1, paths.count())).mapInArrow(run, "path string, offset long, page_id long, digest string, length long")
+    return paths.select("path").repartition(max(1, paths.count())).mapInArrow(run, "path string, offset long, url string, date string, page_id long, digest string, length long")
 
 
 def convert(paths: DataFrame, scratch: Scratch, min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -241,41 +275,46 @@ def convert(paths: DataFrame, scratch: Scratch, min_revisit: int = MIN_REVISIT)
     """
     folder = f"{scratch.path}/warc"
     index = scratch.save(arc_index(paths), "arc-index")
-    last = index.filter(F.col("length") >= min_revisit).groupBy("digest", "length").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).filter("n > 1 and response is not null")
-    revisits = index.join(last, ["digest", "length"]).filter("page_id is null or page_id <> response").select("path", "offset", "response")
-    tasks = paths.select("path", F.lit(-1).cast("long").alias("offset"), F.lit(None).cast("long").alias("response")).union(revisits)
+    first = F.struct("page_id", "path", "offset", "url", "date")
+    last = index.filter(F.col("length") >= min_revisit).groupBy("digest", "length").agg(F.max(first).alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1 and original.page_id is not null")
+    last = scratch.save(last.drop("n"), "arc-originals")
+    known = F.broadcast(last) if plan_bytes(last) <= BROADCAST_BYTES else last
+    revisits = index.select("path", "offset", "page_id", "digest", "length").join(known, ["digest", "length"]).filter("page_id is null or page_id <> original.page_id").select("path", "offset", "original")
+    tasks = paths.select("path", F.lit(-1).cast("long").alias("offset"), F.lit(None).cast(last.schema["original"].dataType).alias("original")).union(revisits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted: a file's own row (offset -1), then its revisits
         path, refers = None, {}
 
         def flush() -> pa.RecordBatch:
-            store, base = _store(folder)
             name = f"{uuid.uuid5(NAMESPACE, path).hex}-{uuid.uuid4().hex}.warc.gz"
             archive, n = path.rsplit("/", 1)[-1], 0
-            with store.open_output_stream(f"{base}/{name}", compression=None) as out, _read(path) as f:
+            with _new(folder, name) as out, _read(path) as f:
                 for r in read_arc(f):
                     out.write(member(warc_record(archive, r, refers.get(r.offset))))
                     n += 1
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n])], ["path", "records"])
 
         for batch in batches:
-            for p, offset, response in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, offset, original in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if p != path:
                     if path is not None:
                         yield flush()
                     path, refers = p, {}
                 if offset >= 0:
-                    refers[offset] = response
+                    o = original
+                    refers[offset] = Original(o["page_id"], record_id(o["path"].rsplit("/", 1)[-1], o["offset"], o["url"]), o["url"], o["date"])
         if path is not None:
             yield flush()
 
-    placed = tasks.repartition("path").sortWithinPartitions("path", "offset")
+    # a number of partitions keeps adaptive execution from merging them
+    placed = tasks.repartition(max(1, paths.count()), "path").sortWithinPartitions("path", "offset")
     return scratch.save(placed.mapInArrow(run, "path string, records long"), "warcs")
 
 
 def read_warcs(paths: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, target_uri, date of every record."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, target_uri, date of every record but
+    warcinfo ones."""
     import base64
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,12 +323,14 @@ def read_warcs(paths: DataFrame) -> DataFrame:
                 rows = []
                 with _read(path) as f:
                     for fields, block in read_warc(f):
+                        if fields["WARC-Type"] == "warcinfo":
+                            continue
                         head, payload = split_http(block)
                         digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                        size = int(fields.get("WARC-Payload-Length", len(payload)))
-                        if fields["WARC-Type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
+                        size = int(fields.get(LENGTH_FIELD, len(payload)))
+                        if fields["WARC-Type"] != "revisit" and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
-                        refers = fields.get("WARC-Refers-To-Page")
+                        refers = fields.get(ORIGINAL_FIELD)
                         rows.append((page_of(head), size, digest, fields["WARC-Type"], None if refers is None else int(refers), fields["WARC-Record-ID"], fields["WARC-Target-URI"], fields["WARC-Date"]))
                 columns = list(zip(*rows, strict=True)) or [()] * 8
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())

@@ -7,15 +7,19 @@ import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs on one machine."""
     root = spark.conf.get(SETTING, None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fathomry-")
         spark.conf.set(SETTING, root)
     return root.rstrip("/")
@@ -34,6 +38,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a URI and the path in it, as workers open it; Hadoop's names for S3 are S3 too."""
+    scheme, colon, rest = uri.partition(":")
+    store, path = pafs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + colon + rest)
+    return store, path
+
+
 class Scratch:
     """A folder of its own under the shared root; its tables go at exit or when discarded."""
 
@@ -54,7 +65,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(where)
 
     def discard(self, name: str = "") -> None:
-        with contextlib.suppress(Exception):
+        """Remove a table, or the whole folder; at exit, the session may be gone, and then the folder stays."""
+        with contextlib.suppress(Py4JError, ConnectionError, AttributeError):
             jvm = self.spark._jvm
             at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.places.get(name, name)}".rstrip("/"))
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -25,12 +25,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranges import block_of, filled, key_bounds
-from .scratch import Scratch, block_count
+from .scratch import Scratch, block_count, open_store
 from .tokens import default_vocabulary, encoder, merged, with_end
 
 #: Fixed values of the public seekable format.
@@ -113,9 +112,13 @@ class TokenFileReader:
             raise ValueError(f"frame {k} is damaged")
         return got
 
+    def rows(self, which: Iterable[int] | None = None) -> np.ndarray:
+        """Numbers of the file's documents, in file order; with which, of all that have these ids."""
+        return np.arange(len(self.doc_id)) if which is None else np.flatnonzero(np.isin(self.doc_id, list(which)) & (self.null == 0))
+
     def documents(self, which: Iterable[int] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
-        """(document id, ids) in file order; with which, of these document ids only."""
-        rows = range(len(self.doc_id)) if which is None else np.flatnonzero(np.isin(self.doc_id, list(which)) & (self.null == 0))
+        """(document id, ids) of rows(which)."""
+        rows = self.rows(which)
         at, ids = -1, None
         for i in rows:
             if self.frame_no[i] != at:
@@ -144,7 +147,7 @@ def write_token_files(df: DataFrame, scratch: Scratch, vocabulary: str | None =
             enc = encoder(vocabulary)
             if writer is None:
                 block = part.column("block")[0].as_py()
-                store, base = pafs.FileSystem.from_uri(folder)
+                store, base = open_store(folder)
                 store.create_dir(base, recursive=True)
                 name = f"block-{block:07d}-{uuid.uuid4().hex}.tokens"
                 stream = store.open_output_stream(f"{base}/{name}")
@@ -162,7 +165,7 @@ def write_token_files(df: DataFrame, scratch: Scratch, vocabulary: str | None =
 
 
 def open_tokens(path: str) -> TokenFileReader:
-    store, at = pafs.FileSystem.from_uri(path)
+    store, at = open_store(path)
     return TokenFileReader(store.open_input_file(at))
 
 
@@ -181,17 +184,9 @@ def read_token_files(spark: SparkSession, shards: list, doc_ids: list[int] | Non
         for batch in batches:
             for path, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader = open_tokens(path)
-                start = {}
-                if wanted is not None:
-                    ends = np.cumsum(reader.length.astype(np.int64))
-                    start = {int(d): int(e - n) for d, e, n in zip(reader.doc_id, ends, reader.length, strict=True)}
-                out = []
-                for doc_id, ids in reader.documents(wanted):
-                    out.append((doc_id, start.get(doc_id, 0) if wanted is not None else begin, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    if wanted is None:
-                        begin += len(ids)
-                if wanted is not None:
-                    out = [(d, s + begin, n, c) for d, s, n, c in out]
+                start = begin + np.cumsum(reader.length, dtype=np.int64) - reader.length.astype(np.int64)
+                found = zip(reader.rows(wanted).tolist(), reader.documents(wanted), strict=True)
+                out = [(doc_id, int(start[i]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, (doc_id, ids) in found]
                 columns = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

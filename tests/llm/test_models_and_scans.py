@@ -169,13 +169,36 @@ def test_arc_reader(version):
     for i, block in enumerate((b"HTTP/1.0 200 OK\r\n\r\nbody\nwith lines\n", b"", b"no header")):
         data += archives.arc_record(version, "f.arc", len(data), f"http://h/{i} odd", "19961104", block)
     got = list(archives.read_arc(io.BytesIO(data)))
-    assert [r.block for r in got] == [b"HTTP/1.0 200 OK\r\n\r\nbody\nwith lines\n", b"", b"no header"]
-    assert [data[r.offset :].startswith(r.fields["URL"].encode()) for r in got] == [True] * 3
-    assert archives.warc_date("19961104") == "1996-11-04T00:00:00Z" and archives.split_http(got[0].block)[1] == b"body\nwith lines\n"
+    assert [r.block for r in got[1:]] == [b"HTTP/1.0 200 OK\r\n\r\nbody\nwith lines\n", b"", b"no header"]
+    assert [data[r.offset :].startswith(r.fields["URL"].encode()) for r in got] == [True] * 4
+    assert [archives.kind_of(r) for r in got] == ["warcinfo", "response", "resource", "resource"] and got[0].fields["URL"] == "filedesc://f.arc"
+    records = [next(archives.read_warc(io.BytesIO(archives.warc_record("f.arc", r)))) for r in got]
+    assert [f["Content-Type"] for f, _ in records] == ["application/warc-fields", "application/http; msgtype=response", "text/html", "text/html"]
+    assert records[0][0]["WARC-Filename"] == "f.warc.gz" and b"conformsTo" in records[0][1] and [b for _, b in records[1:]] == [r.block for r in got[1:]]
+    original = archives.Original(7, "<urn:uuid:1>", "http://o", "1996-01-01T00:00:00Z")
+    fields, block = next(archives.read_warc(io.BytesIO(archives.warc_record("f.arc", got[1], original))))
+    assert (fields["WARC-Type"], fields["WARC-Refers-To"], fields["WARC-Refers-To-Target-URI"], fields["WARC-Refers-To-Date"], block) == ("revisit", *original[1:], b"HTTP/1.0 200 OK\r\n\r\n")
+    assert archives.warc_date("19961104") == "1996-11-04T00:00:00Z" and archives.split_http(got[1].block)[1] == b"body\nwith lines\n"
     with pytest.raises(ValueError):
         list(archives.read_arc(io.BytesIO(data[:-5])))
 
 
+def test_equal_largest_pages_and_long_payloads(spark):
+    """Rows that repeat the largest page id are all responses; revisits name the record of one of them."""
+    long_one, other = "y" * 3_000_000, "z" * 1000
+    rows = [(9, "u", long_one), (9, "v", long_one), (4, "w", long_one), (1, "a", other), (2, "b", other), (3, "c", other[:-1]), (5, "d", other[:-1])]
+    scratch = Scratch(spark, "t")
+    warcs = archives.convert(archives.write_arcs(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), scratch), scratch)
+    got = archives.read_warcs(warcs).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "revisit", 2), (2, "response", None), (3, "response", None), (4, "revisit", 9), (5, "response", None), (9, "response", None), (9, "response", None)]
+    ids = {r.record_id: r.page_id for r in got}
+    heads = []
+    for path in [r.path for r in warcs.collect()]:
+        with archives._read(path) as f:
+            heads += [fields for fields, _ in archives.read_warc(f)]
+    assert {ids[f["WARC-Refers-To"]] for f in heads if f["WARC-Type"] == "revisit"} == {2, 9} and sum(f["WARC-Type"] == "warcinfo" for f in heads) == warcs.count() > 1
+
+
 def test_no_pages(spark):
     scratch = Scratch(spark, "t")
     none = archives.write_arcs(spark.createDataFrame([], "page_id long, url string, html string"), scratch)

@@ -156,3 +156,11 @@ def test_packing_places_every_piece(spark, encoder):
 
 def test_packing_of_an_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), Scratch(spark, "t")).count() == 0
+
+
+def test_rows_of_one_id_have_places_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three"), (2, "three four five"), (3, "six")], "doc_id long, text string")
+    shards = token_files.write_token_files(docs, Scratch(spark, "t"))
+    whole = [r for r in token_files.read_token_files(spark, shards).orderBy("start").collect()]
+    some = token_files.read_token_files(spark, shards, [2]).orderBy("start").collect()
+    assert some == [r for r in whole if r.doc_id == 2] and len({r.start for r in some}) == 2

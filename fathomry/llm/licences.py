@@ -1,7 +1,7 @@
 """Licence scan: sparse TF-IDF cosine of statements to templates, then inheritance along directories.
 
-A file is a row with a path. Its statements are its lines, the sentences of those over LINE_WORDS words, and the whole
-text when it has at most WHOLE_WORDS words and more than one line. Each distinct statement is weighed by TF-IDF (idf
+A file is a row with a path. Its statements are its lines, its blocks (lines without a blank one between them), the
+sentences of its blocks, and the whole text, of whatever length. Each distinct statement is weighed by TF-IDF (idf
 over the templates) and compared with every template by cosine; at THRESHOLD or more and with MIN_TERMS shared terms the
 best template is the statement's licence. No statement is left out before that: those that cannot reach the threshold
 are told by their own length in the terms of the templates.
@@ -34,9 +34,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch
+from .scratch import Scratch, plan_bytes
 
-THRESHOLD, MIN_TERMS, LINE_WORDS, WHOLE_WORDS = 0.6, 3, 40, 400
+THRESHOLD, MIN_TERMS = 0.6, 3
+#: Licences of directories go to every executor up to this size, beyond it by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Cosine of a text of any length to a full licence text.
 FULL_THRESHOLD = 0.8
 #: A file is a licence file when its statements have at least this share of its words.
@@ -141,12 +143,39 @@ class Scorer:
         return (name, -cosine) if -cosine >= self.threshold else None
 
 
-def statements(text: str, n_words: int) -> list[str]:
-    """The distinct statements of a text."""
-    lines = [x for x in text.split("\n") if x]
-    sentences = [y for x in lines if len(x.split(" ")) > LINE_WORDS for y in re.split(r"(?<=[.!?;])[ \t\n\r\f\v]+", x)]
-    whole = [text.replace("\n", " ")] if n_words <= WHOLE_WORDS and len(lines) > 1 else []
-    return list(dict.fromkeys(lines + sentences + whole))
+_SENTENCE = re.compile(r"(?<=[.!?;])\s+")
+
+
+def statements(text: str) -> Iterator[list[str]]:
+    """The words of the distinct statements of a text: lines, blocks, sentences of blocks, and all of it."""
+    find = re.compile(WORD).findall
+    seen: set[tuple[str, ...]] = set()
+    whole: list[str] = []
+    block: list[str] = []
+    in_block: list[str] = []
+
+    def new(words: list[str]) -> Iterator[list[str]]:
+        key = tuple(words)
+        if len(words) >= MIN_TERMS and key not in seen:
+            seen.add(key)
+            yield words
+
+    for line in [*text.lower().split("\n"), ""]:
+        if line.strip():
+            words = find(line)
+            yield from new(words)
+            block.append(line)
+            in_block += words
+            continue
+        if block:
+            yield from new(in_block)
+            sentences = _SENTENCE.split("\n".join(block))
+            if len(sentences) > 1:
+                for sentence in sentences:
+                    yield from new(find(sentence))
+            whole += in_block
+        block, in_block = [], []
+    yield from new(whole)
 
 
 def own_licences(files: DataFrame, ids: list[str]) -> DataFrame:
@@ -171,8 +200,7 @@ def own_licences(files: DataFrame, ids: list[str]) -> DataFrame:
                     continue
                 met: dict[str, list[float]] = {name: [1.0] for name in tagged(text)}
                 longest = 0
-                for statement in statements(text, n_words):
-                    words = find(statement.lower())
+                for words in statements(text):
                     best = scorer.best(words)
                     if best is not None:
                         met.setdefault(best[0], []).append(best[1])
@@ -212,6 +240,9 @@ def scan(files: DataFrame, scratch: Scratch, ids: list[str] | None = None) -> Da
     parts = F.split("d", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("a")))
     nearest = wanted.select("d", F.explode(prefixes).alias("p")).select("d", "p.depth", "p.a").join(given, "a").groupBy("d").agg(F.max_by(F.struct("a", "dir_licence", "dir_cosine"), "depth").alias("n"))
+    nearest = scratch.save(nearest, "nearest")
+    # a directory may hold a third of all files: its one row goes to them, not they to it
+    nearest = F.broadcast(nearest) if plan_bytes(nearest) <= BROADCAST_BYTES else nearest
     joined = known.withColumn("d", F.when(F.col("own").isNull(), directory)).join(nearest, "d", "left")
     return joined.select(
         *ids,

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fathomry.llm import archives, class_model, fingerprints, licences, quality
@@ -329,3 +330,22 @@ def test_pipeline_stages(spark):
         seen.append(out.count())
         docs = out
     assert seen[0] > seen[1] >= seen[2] > 0 and docs.select("doc_id").distinct().count() == seen[2]
+
+
+def tables(spark, folder, docs, labels, items):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("out_id", "fathomry_gone", "cid", "key", "toxic", "kept", "label", "half", "good", "item_id")}).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_with_clashing_names_nulls_and_nothing(spark, tmp_path):
+    passage = " ".join(f"q{i}" for i in range(30))
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, words, "en", "a", 1), (2, words, "en", "a", 1), (2, words, "en", "a", 1), (3, passage, None, None, None), (4, None, None, None, None), (5, "", "", "", 0), (None, "some text without an id", "en", "b", 2), (6, "long " * 300_000, "en", "c", 3)]
+    labels = [(1, 1, 0), (None, None, None), (5, None, 1)]
+    run = corpus_pipeline.run(spark, tables(spark, tmp_path / "full", docs, labels, [(1, passage), (None, None)]))
+    assert sorted({str(r.doc_id) for r in run.collect()}) == ["1", "4", "5", "6", "None"]
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "none", [], [], [])).count() == 0
+    nulls = [(None,) * 5] * 3
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "nulls", nulls, [(None,) * 3], [(None,) * 2])).count() == 3

@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that it is given, and returns a DataFrame; all but the last
 return the columns of documents. Labels and benchmark are read from sf_dir. Between stages the rows are written as
 Parquet and read again, by run() as by any other caller.
+
+Cases: documents without text or words pass quality, near duplicates and benchmark, and become a piece of one end token;
+rows that repeat an id or all columns are kept or dropped together by quality and near duplicates; without labels only
+toxic documents could go, and none do; empty tables give an empty result; other columns, whatever their names, go along
+up to packing.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 from fathomry.llm.near import near_duplicates
 from fathomry.llm.packing import pack
 from fathomry.llm.quality import select_quality
-from fathomry.llm.scratch import Scratch
+from fathomry.llm.scratch import Scratch, unused
 from fathomry.llm.tiling import decontaminate
 
 #: Near duplicates: words of a shingle and percent of similarity.
@@ -28,9 +33,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Rows that repeat an id stay together,
     and rows without an id stay."""
-    found = near_duplicates(docs, Scratch(spark, "near"), SHINGLE, PERCENT)
-    out = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("out_id")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("out_id"), "left_anti")
+    scratch = Scratch(spark, "near")
+    gone = unused("fathomry_gone", docs.columns)
+    out = near_duplicates(docs, scratch, SHINGLE, PERCENT).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(out, docs["doc_id"] == out[gone], "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ def vector_of(token: Column, space: Column, nnz: Column) -> Column:
 
     @F.arrow_udf("array<struct<pos: int, sign: int>>")
     def draw(token: pa.Array, space: pa.Array, nnz: pa.Array) -> pa.Array:
-        rows = [[{"pos": p, "sign": s} for p, s in vector(t, k, n)] for t, k, n in zip(token.to_pylist(), space.to_pylist(), nnz.to_pylist(), strict=True)]
-        return pa.array(rows, pa.list_(pa.struct([("pos", pa.int32()), ("sign", pa.int32())])))
+        rows = [vector(t, k, n) for t, k, n in zip(token.to_pylist(), space.to_pylist(), nnz.to_pylist(), strict=True)]
+        flat = np.array([e for r in rows for e in r], np.int32).reshape(-1, 2)
+        ends = np.cumsum([0, *(len(r) for r in rows)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["pos", "sign"]))
 
     return draw(token, space, nnz)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, bm25, chunking, dense, evaluate, fusion, grounding, guard, intent, retrieve, vectors
+from ..sources.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,8 +81,9 @@ def token_stats(spark, sf):
 SELECT term, df, CAST(cf AS BIGINT) AS cf, round(ln((n - df + 0.5e0) / (df + 0.5e0) + 1e0), 6) AS idf, round(1e0 / (1e0 + ln(1e0 + cf)), 6) AS weight FROM s, n ORDER BY df DESC, term LIMIT 500""")
 def term_idf_topk(spark, sf):
     d = documents(spark, sf)
-    n = bm25.corpus_stats(d).select("n_docs")
-    s = bm25.term_stats(bm25.postings(d)).crossJoin(F.broadcast(n))
+    posts, stats = bm25.index(d)
+    n = stats.select("n_docs")
+    s = bm25.term_stats(posts).crossJoin(F.broadcast(n))
     s = s.select("term", "df", F.col("cf").cast("long").alias("cf"), F.round(bm25.idf(F.col("n_docs").cast("double"), F.col("df").cast("double")), 6).alias("idf"), F.round(T.token_weight("cf"), 6).alias("weight"))
     return s.orderBy(F.col("df").desc(), "term").limit(500)
 
@@ -241,7 +243,7 @@ m AS (SELECT qid, doc_id, round(sum(s), 9) AS score FROM (SELECT qid, doc_id, sc
 SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def bm25_expanded_fixed(spark, sf):
     d, q = documents(spark, sf), benchmark(spark, sf)
-    posts, stats = bm25.postings(d), bm25.corpus_stats(d)
+    posts, stats = bm25.index(d)
     wide = q.select("qid", F.concat_ws(" ", "text", F.lit("thing")).alias("text"))
     merged = bm25.expanded(bm25.scores(posts, stats, bm25.query_terms(q)), bm25.scores(posts, stats, bm25.query_terms(wide)))
     return bm25.top(merged, 10).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
@@ -255,8 +257,8 @@ runs AS (SELECT 'words' AS run, qid, doc_id, rank FROM rk WHERE rank <= 50 UNION
 
 def _runs(spark, sf) -> DataFrame:
     d, q = documents(spark, sf), benchmark(spark, sf)
-    posts = bm25.postings(d)
-    one = bm25.top(bm25.scores(posts, bm25.corpus_stats(d), bm25.query_terms(q)), 50).select(F.lit("words").alias("run"), "qid", "doc_id", "rank")
+    posts, stats = bm25.index(d)
+    one = bm25.top(bm25.scores(posts, stats, bm25.query_terms(q)), 50).select(F.lit("words").alias("run"), "qid", "doc_id", "rank")
     overlap = posts.join(bm25.small(bm25.query_terms(q)), "term").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("score"))
     return one.unionByName(bm25.top(overlap, 50).select(F.lit("overlap").alias("run"), "qid", "doc_id", "rank"))
 
@@ -282,7 +284,8 @@ def _qrels(spark, sf) -> DataFrame:
     seed = F.transform(F.sequence(F.lit(0), F.greatest(F.size("toks") - 4, F.lit(0))), lambda i: F.array_join(F.slice("toks", i + 1, F.lit(4)), " "))
     one = q.select("qid", F.col("text").alias("passage"), F.array_join(F.slice(T.words("text"), 1, 4), " ").alias("seed"))
     near = d.select("doc_id", "text", T.words("text").alias("toks")).select("doc_id", "text", F.explode(F.array_distinct(seed)).alias("seed")).join(bm25.small(one), "seed")
-    return near.filter(F.contains("text", F.col("passage"))).select("qid", "doc_id", F.lit(1).alias("grade")).distinct()
+    found = near.filter(F.contains("text", F.col("passage"))).select("qid", "doc_id", F.lit(1).alias("grade")).distinct()
+    return Workspace(spark, "qrels").save(found)  # metrics read it several times
 
 
 @query(f"""WITH {_RUNS_SQL}, {_QRELS_SQL}, grid AS (SELECT a.w AS words, b.w AS overlap, CAST(a.i * 3 + b.i AS INTEGER) AS grid_no FROM (VALUES (0, 0.0e0), (1, 0.5e0), (2, 1.0e0)) a(i, w), (VALUES (0, 0.0e0), (1, 0.5e0), (2, 1.0e0)) b(i, w) WHERE a.w > 0 OR b.w > 0),
@@ -542,8 +545,8 @@ length(term) >= 5 AND cf IS NULL AND coalesce({_stem_sql('q3.term')} NOT IN (SEL
 g AS (SELECT qid, sum(CASE WHEN met THEN idf ELSE 0 END) / sum(idf) * CASE WHEN bool_or(strange) THEN 0.2e0 ELSE 1e0 END AS coverage FROM e GROUP BY 1) SELECT item_id AS qid, round(coalesce(coverage, 0.5e0), 6) AS coverage FROM benchmark LEFT JOIN g ON g.qid = item_id""")
 def query_coverage_confidence(spark, sf):
     d, q = documents(spark, sf), benchmark(spark, sf)
-    posts = bm25.postings(d)
-    hits = bm25.top(bm25.scores(posts, bm25.corpus_stats(d), bm25.query_terms(q)), 3).join(d.select("doc_id", F.col("text").alias("snippet")), "doc_id")
+    posts, stats = bm25.index(d)
+    hits = bm25.top(bm25.scores(posts, stats, bm25.query_terms(q)), 3).join(d.select("doc_id", F.col("text").alias("snippet")), "doc_id")
     return grounding.coverage(q, hits, posts.groupBy("term").agg(F.sum("tf").alias("cf"))).select("qid", F.round("coverage", 6).alias("coverage"))
 
 
@@ -807,5 +810,6 @@ def smart_search(spark, sf):
 
 @query()
 def ask_grounded(spark, sf):
-    out = retrieve.Engine(documents(spark, sf)).ask(benchmark(spark, sf), lambda prompt: f"{len(prompt)} characters [1].")
-    return out.select("qid", F.round("confidence", 6).alias("confidence"), "abstained", "answer")
+    """Answers that quote the first passage, with the share of their cited sentences that the hits support."""
+    out = retrieve.Engine(documents(spark, sf)).ask(benchmark(spark, sf), lambda prompt: " ".join(prompt.split("[1] ", 1)[-1].split()[:12]).rstrip(".") + " [1]. More of it [9].")
+    return out.select("qid", F.round("confidence", 6).alias("confidence"), "abstained", "answer", F.round("grounded", 6).alias("grounded"), "badge")

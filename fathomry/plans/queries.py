@@ -116,18 +116,9 @@ def bigram_topk(spark, sf):
 
 @query(f"""WITH {_POS}, s AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, i) AS r FROM pos)
 SELECT s.term AS term, e.term AS near, count(*) AS n FROM s JOIN pos e ON s.doc_id = e.doc_id AND e.i BETWEEN s.i - 3 AND s.i + 3 AND e.i <> s.i WHERE r <= 64 GROUP BY 1, 2 HAVING count(*) > 3""")
-def cooccur_window3_all(spark, sf):
-    """In documents of every language."""
-    return _cooccur(vectors.placed_words(documents(spark, sf)))
-
-
-@query(f"""WITH {_POS}, e AS (SELECT pos.* FROM pos JOIN documents USING (doc_id) WHERE lang = 'en'), s AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, i) AS r FROM e)
-SELECT s.term AS term, e.term AS near, count(*) AS n FROM s JOIN e ON s.doc_id = e.doc_id AND e.i BETWEEN s.i - 3 AND s.i + 3 AND e.i <> s.i WHERE r <= 64 GROUP BY 1, 2 HAVING count(*) > 3""")
 def cooccur_window3(spark, sf):
-    return _cooccur(vectors.placed_words(documents(spark, sf).filter("lang = 'en'")))
-
-
-def _cooccur(placed: DataFrame) -> DataFrame:
+    """In documents of every language."""
+    placed = vectors.placed_words(documents(spark, sf))
     seen = placed.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy("doc_id", "pos"))).filter("r <= 64")
     wanted = seen.select("doc_id", "term", F.explode(F.array(*[F.col("pos") + i for i in (-3, -2, -1, 1, 2, 3)])).alias("pos"))
     return wanted.join(placed.withColumnRenamed("term", "near"), ["doc_id", "pos"]).groupBy("term", "near").agg(F.count(F.lit(1)).alias("n")).filter("n > 3")
@@ -161,24 +152,7 @@ def chunk_windows_hybrid(spark, sf):
     return _windows(chunking.windows(documents(spark, sf), *chunking.HYBRID))
 
 
-_MARKED_SQL = "marked AS (SELECT doc_id, 'Intro. [[CRITICAL: Step ' || (doc_id % 7) || ']] ' || left(text, 80) || ' [[/CRITICAL]] ' || substr(text, 81, 200) || ' [[critical: open' AS text FROM documents)"
-
-
-def _marked(spark, sf) -> DataFrame:
-    text = F.concat(F.lit("Intro. [[CRITICAL: Step "), (F.col("doc_id") % 7).cast("string"), F.lit("]] "), F.left("text", F.lit(80)), F.lit(" [[/CRITICAL]] "), F.substring("text", 81, 200), F.lit(" [[critical: open"))
-    return documents(spark, sf).select("doc_id", text.alias("text"))
-
-
-@query(rf"""WITH {_MARKED_SQL} SELECT doc_id, trim(regexp_extract(text, '(?is)\[\[\s*critical\s*:\s*([^\]\n]+?)\s*\]\]', 1)) AS title, CAST(length(regexp_extract(text, '(?is)\[\[\s*critical\s*:\s*[^\]\n]+?\s*\]\].*?\[\[\s*/\s*critical\s*\]\]')) AS BIGINT) AS n_chars FROM marked""")
-def critical_blocks(spark, sf):
-    d = _marked(spark, sf)
-    block = F.regexp_extract("text", f"(?is){chunking.OPEN}.*?{chunking.CLOSE}", 0)
-    return d.select("doc_id", F.explode(chunking.critical_blocks(F.col("text"))).alias("b"), F.length(block).cast("long").alias("n_chars")).select("doc_id", "b.title", "n_chars")
-
-
-@query(rf"""WITH {_MARKED_SQL} SELECT doc_id, md5(trim(regexp_replace(text, '(?is)\[\[\s*critical\s*:\s*[^\]\n]+?\s*\]\]|\[\[\s*/\s*critical\s*\]\]', '', 'g'), ' ')) AS digest FROM marked""")
-def critical_strip(spark, sf):
-    return _marked(spark, sf).select("doc_id", F.md5(chunking.strip_marks(F.col("text"))).alias("digest"))
+_MARKED_SQL = "marked AS (SELECT doc_id, 'Intro. [[CRITICAL: Step ' || (doc_id % 7) || ']] ' || left(text, 80) || ' [[/CRITICAL]] ' || substr(text, 81) || ' [[critical: open' AS text FROM documents)"
 
 
 @query("""SELECT doc_id, CAST(CASE WHEN n_chars % 400 < 200 AND n_chars % 400 + 25 > 100 THEN least(n_chars % 400, 100) ELSE n_chars % 400 END AS INTEGER) AS begin,
@@ -189,30 +163,27 @@ def critical_expand(spark, sf):
     return documents(spark, sf).select("doc_id", chunking.expand_span(at, at + 25, spans).alias("s")).select("doc_id", "s.begin", "s.end", "s.title")
 
 
-_MARKED_ALL_SQL = _MARKED_SQL.replace("substr(text, 81, 200)", "substr(text, 81)")
-
-
-def _marked_all(spark, sf) -> DataFrame:
+def _marked(spark, sf) -> DataFrame:
     """Marks around the whole text: the first 80 characters as a block, then all others."""
     text = F.concat(F.lit("Intro. [[CRITICAL: Step "), (F.col("doc_id") % 7).cast("string"), F.lit("]] "), F.left("text", F.lit(80)), F.lit(" [[/CRITICAL]] "), F.expr("substring(text, 81)"), F.lit(" [[critical: open"))
     return documents(spark, sf).select("doc_id", text.alias("text"))
 
 
-@query(rf"""WITH {_MARKED_ALL_SQL}, b AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?is)\[\[\s*critical\s*:\s*[^\]\n]+?\s*\]\].*?\[\[\s*/\s*critical\s*\]\]')) AS b FROM marked)
+@query(rf"""WITH {_MARKED_SQL}, b AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?is)\[\[\s*critical\s*:\s*[^\]\n]+?\s*\]\].*?\[\[\s*/\s*critical\s*\]\]')) AS b FROM marked)
 SELECT doc_id, trim(regexp_extract(b, '(?is)\[\[\s*critical\s*:\s*([^\]\n]+?)\s*\]\]', 1)) AS title, md5(trim(regexp_replace(b, '(?is)\[\[\s*critical\s*:\s*[^\]\n]+?\s*\]\]|\[\[\s*/\s*critical\s*\]\]', '', 'g'), ' ')) AS digest FROM b""")
-def critical_blocks_all(spark, sf):
-    return _marked_all(spark, sf).select("doc_id", F.explode(chunking.critical_blocks(F.col("text"))).alias("b")).select("doc_id", "b.title", F.md5("b.body").alias("digest"))
+def critical_blocks(spark, sf):
+    return _marked(spark, sf).select("doc_id", F.explode(chunking.critical_blocks(F.col("text"))).alias("b")).select("doc_id", "b.title", F.md5("b.body").alias("digest"))
 
 
-@query(rf"""WITH {_MARKED_ALL_SQL} SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(trim(regexp_replace(text, '(?is)\[\[\s*critical\s*:\s*[^\]\n]+?\s*\]\]|\[\[\s*/\s*critical\s*\]\]', '', 'g'), ' ')) AS digest FROM marked""")
-def critical_strip_all(spark, sf):
-    return _marked_all(spark, sf).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(chunking.strip_marks(F.col("text"))).alias("digest"))
+@query(rf"""WITH {_MARKED_SQL} SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(trim(regexp_replace(text, '(?is)\[\[\s*critical\s*:\s*[^\]\n]+?\s*\]\]|\[\[\s*/\s*critical\s*\]\]', '', 'g'), ' ')) AS digest FROM marked""")
+def critical_strip(spark, sf):
+    return _marked(spark, sf).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(chunking.strip_marks(F.col("text"))).alias("digest"))
 
 
 @query()
 def critical_chunks(spark, sf):
     """Hybrid chunks of marked whole texts; a test holds them against a Python walk."""
-    return chunking.hybrid_windows(_marked_all(spark, sf))
+    return chunking.hybrid_windows(_marked(spark, sf))
 
 
 # --- BM25 and fusion -------------------------------------------------------------------------------------------------
@@ -332,18 +303,11 @@ def best_corpus_per_query(spark, sf):
     return hits.withColumn("r", F.row_number().over(best)).filter("r = 1").select("corpus", "qid", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH c AS (SELECT doc_id, chunk_no, CAST(len(list_intersect(list_distinct(toks), (SELECT list(DISTINCT term) FROM (SELECT lower(unnest(regexp_extract_all(text, '[a-zA-Z0-9]+'))) AS term FROM benchmark WHERE item_id = 0)))) AS BIGINT) AS score FROM (SELECT doc_id, chunk_no, list_transform(all_toks[chunk_no * 100 + 1 : chunk_no * 100 + 120], lambda x: lower(x)) AS toks FROM (SELECT doc_id, all_toks, unnest(range(CAST(greatest(0, ceil((len(all_toks) - 120) / 100e0)) AS BIGINT) + 1)) AS chunk_no FROM (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z0-9]+|[\\x{0900}-\\x{097F}]+') AS all_toks FROM documents) WHERE len(all_toks) > 0)))
-SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_no) AS r FROM c) WHERE r = 1""")
+@query(f"""WITH d AS (SELECT doc_id, {w('text')} AS toks FROM documents), c AS (SELECT doc_id, toks, unnest(range(CAST(greatest(0, ceil((len(toks) - 120) / 100e0)) AS BIGINT) + 1)) AS chunk_no FROM d WHERE len(toks) > 0),
+k AS (SELECT DISTINCT doc_id, chunk_no, lower(unnest(toks[chunk_no * 100 + 1 : chunk_no * 100 + 120])) AS term FROM c), q AS (SELECT DISTINCT item_id AS qid, lower(unnest(regexp_extract_all(text, '[a-zA-Z0-9]+'))) AS term FROM benchmark),
+m AS (SELECT qid, doc_id, chunk_no, count(*) AS score FROM k JOIN q USING (term) GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, chunk_no) AS r FROM m)
+SELECT p.qid, p.doc_id, CAST(coalesce(chunk_no, 0) AS INTEGER) AS chunk_no, coalesce(score, 0) AS score FROM (SELECT item_id AS qid, doc_id FROM benchmark, (SELECT DISTINCT doc_id FROM c)) p LEFT JOIN b ON p.qid = b.qid AND p.doc_id = b.doc_id AND r = 1""")
 def best_chunk_per_doc(spark, sf):
-    """For one query, each document's chunk with most of its words."""
-    chunks = chunking.windows(documents(spark, sf), *chunking.HYBRID)
-    q = table(spark, sf, "benchmark").filter("item_id = 0").select(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([a-zA-Z0-9]+)"), F.lit(1)), F.lower)).alias("q"))
-    scored = chunks.crossJoin(F.broadcast(q)).withColumn("score", F.size(F.array_intersect("tokens", "q")).cast("long"))
-    return bm25.top(scored, 1, ("doc_id",), tie="chunk_no").select("doc_id", "chunk_no", "score")
-
-
-@query()
-def best_chunk_per_item(spark, sf):
     """For every benchmark item, each document's chunk with most of its words; a test holds it against plain Python."""
     chunks = chunking.windows(documents(spark, sf), *chunking.HYBRID)
     q = benchmark(spark, sf).select("qid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([a-zA-Z0-9]+)"), F.lit(1)), F.lower))).alias("term"))
@@ -427,24 +391,10 @@ def _asked_hits(spark, sf) -> DataFrame:
     return hits.join(d.select("doc_id", F.col("text").alias("snippet")), "doc_id")
 
 
-_RESCORE_TERMS = (("the", 3.0), ("that", 1.0), ("of", 1.0))
-
-
-@query(f"""WITH h AS (SELECT 0 AS qid, doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS rank, text FROM documents WHERE doc_id < 40), k AS (SELECT rank, lower(unnest({t('lower(text)')})) AS term FROM h), c AS (SELECT rank, term, count(*) AS tf FROM k GROUP BY 1, 2),
-g AS (SELECT rank, round(sum(w * ln(1e0 + tf)), 9) AS s FROM c JOIN (VALUES ('the', 3.0e0), ('that', 1.0e0), ('of', 1.0e0)) v(term, w) USING (term) GROUP BY 1)
-SELECT doc_id, round(coalesce(s, 0), 6) AS adj_score, CAST(row_number() OVER (ORDER BY coalesce(s, 0) DESC, rank) AS INTEGER) AS adj_rank FROM h LEFT JOIN g USING (rank)""")
-def subject_rescore(spark, sf):
-    """One stated hit list (the operator's input is a hit list of bounded depth)."""
-    hits = documents(spark, sf).filter("doc_id < 40").select(F.lit(0).alias("qid"), "doc_id", F.col("text").alias("snippet"))
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")))
-    terms = spark.createDataFrame([(0, a, b) for a, b in _RESCORE_TERMS], "qid int, term string, weight double")
-    return intent.rescore(hits, terms).select("doc_id", F.round("adj_score", 6).alias("adj_score"), "adj_rank")
-
-
 @query(f"""WITH {_bm25_sql()}, h AS (SELECT rk.qid, rk.doc_id, rk.rank, documents.text FROM rk JOIN documents USING (doc_id) WHERE rank <= 10), k AS (SELECT qid, rank, lower(unnest({t('lower(text)')})) AS term FROM h), c AS (SELECT qid, rank, term, count(*) AS tf FROM k GROUP BY 1, 2, 3),
 a AS (SELECT qid, term, CAST(count(*) AS DOUBLE) AS w FROM (SELECT item_id AS qid, lower(unnest({t('text')})) AS term FROM benchmark) GROUP BY 1, 2), g AS (SELECT qid, rank, round(sum(w * ln(1e0 + tf)), 9) AS s FROM c JOIN a USING (qid, term) GROUP BY 1, 2)
 SELECT qid, doc_id, round(coalesce(s, 0), 6) AS adj_score, CAST(row_number() OVER (PARTITION BY qid ORDER BY coalesce(s, 0) DESC, rank) AS INTEGER) AS adj_rank FROM h LEFT JOIN g USING (qid, rank)""")
-def subject_rescore_all(spark, sf):
+def subject_rescore(spark, sf):
     """Every benchmark item's hits over all documents, by the item's words."""
     asked = benchmark(spark, sf)
     terms = asked.select("qid", F.explode(T.tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
@@ -469,22 +419,10 @@ def typo_candidates(spark, sf):
     return intent.corrections(literals(spark, TYPOS).select(F.col("text").alias("term")), vocabulary)
 
 
-_COVER = ("the anonre of things", "xyzzy zzz", "of the", "hein onthe")
-
-
-@query(f"""WITH q AS (SELECT qid, lower(unnest({t('text')})) AS term FROM {values(_COVER)}), s AS (SELECT * FROM q WHERE length(term) >= 2 AND term NOT IN ({', '.join(repr(x) for x in intent.STOP)})), {_TOK}, v AS (SELECT DISTINCT term AS w FROM tok JOIN documents USING (doc_id) WHERE doc_id < 20),
-m AS (SELECT qid, avg(CASE WHEN EXISTS (SELECT 1 FROM v WHERE contains(w, s.term)) THEN 1e0 ELSE 0e0 END) AS coverage FROM s GROUP BY 1) SELECT DISTINCT q.qid, round(coalesce(coverage, 1e0), 6) AS coverage FROM q LEFT JOIN m USING (qid)""")
-def subject_coverage(spark, sf):
-    """Stated queries against one stated hit list."""
-    parsed = literals(spark, _COVER).withColumn("subject", F.col("text"))
-    hits = documents(spark, sf).filter("doc_id < 20").select(F.col("text").alias("snippet")).crossJoin(F.broadcast(parsed.select("qid")))
-    return intent.subject_coverage(parsed, hits).select("qid", F.round("coverage", 6).alias("coverage"))
-
-
 @query(f"""WITH {_bm25_sql()}, a AS (SELECT item_id AS qid, unnest({t('text')}) AS term FROM benchmark), s AS (SELECT qid, lower(term) AS term FROM a WHERE length(term) >= 2 AND lower(term) NOT IN ({', '.join(repr(x) for x in intent.STOP)})),
 v AS (SELECT DISTINCT qid, lower(u) AS w FROM (SELECT rk.qid, unnest({t('lower(text)')}) AS u FROM rk JOIN documents USING (doc_id) WHERE rank <= 10)), m AS (SELECT s.qid, s.term, coalesce(bool_or(contains(w, s.term)), false) AS met FROM (SELECT DISTINCT * FROM s) s LEFT JOIN v ON s.qid = v.qid GROUP BY 1, 2)
 SELECT b.item_id AS qid, round(coalesce(avg(CASE WHEN met THEN 1e0 WHEN NOT met THEN 0e0 END), 1e0), 6) AS coverage FROM benchmark b LEFT JOIN s ON s.qid = b.item_id LEFT JOIN m USING (qid, term) GROUP BY 1""")
-def subject_coverage_all(spark, sf):
+def subject_coverage(spark, sf):
     """Every benchmark item against its hits over all documents."""
     return intent.subject_coverage(benchmark(spark, sf).withColumn("subject", F.col("text")), _asked_hits(spark, sf)).select("qid", F.round("coverage", 6).alias("coverage"))
 
@@ -492,20 +430,10 @@ def subject_coverage_all(spark, sf):
 # --- grounding -------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_TOK}, v AS (SELECT DISTINCT term FROM tok WHERE doc_id % 2 = 0), a AS (SELECT DISTINCT term, {_stem_sql('term')} AS stem, CASE WHEN length(term) >= greatest(5, length(term) - 3) THEN left(term, greatest(5, length(term) - 3)) END AS prefix FROM tok WHERE doc_id < 20),
-x AS (SELECT DISTINCT left(v.term, n) AS prefix FROM v JOIN (SELECT DISTINCT length(prefix) AS n FROM a WHERE prefix IS NOT NULL) ON length(v.term) >= n)
-SELECT a.term, (a.term IN (SELECT term FROM v)) OR coalesce(stem IN (SELECT term FROM v), false) OR coalesce(prefix IN (SELECT prefix FROM x), false) AS known FROM a""")
-def prefix_in_corpus(spark, sf):
-    """Words of some documents against the vocabulary of others."""
-    d = documents(spark, sf)
-    words = lambda x: x.select(F.explode(T.tokens("text")).alias("term")).distinct()
-    return grounding.known_terms(words(d.filter("doc_id < 20")), words(d.filter("doc_id % 2 = 0")))
-
-
 @query(f"""WITH {_TOK}, v AS (SELECT DISTINCT term FROM tok), b AS (SELECT lower(unnest({t('text')})) AS term FROM benchmark), a AS (SELECT DISTINCT term, {_stem_sql('term')} AS stem, CASE WHEN length(term) >= greatest(5, length(term) - 3) THEN left(term, greatest(5, length(term) - 3)) END AS prefix FROM b),
 x AS (SELECT DISTINCT left(v.term, n) AS prefix FROM v JOIN (SELECT DISTINCT length(prefix) AS n FROM a WHERE prefix IS NOT NULL) ON length(v.term) >= n)
 SELECT a.term, (a.term IN (SELECT term FROM v)) OR coalesce(stem IN (SELECT term FROM v), false) OR coalesce(prefix IN (SELECT prefix FROM x), false) AS known FROM a""")
-def prefix_in_corpus_all(spark, sf):
+def prefix_in_corpus(spark, sf):
     """Words of the benchmark against the vocabulary of all documents."""
     words = lambda x: x.select(F.explode(T.tokens("text")).alias("term")).distinct()
     return grounding.known_terms(words(benchmark(spark, sf)), words(documents(spark, sf)))

@@ -99,3 +99,19 @@ def resolve(unanswered: DataFrame, key: int, resolution: str = "resolved") -> Da
 def clipped(table: DataFrame) -> DataFrame:
     """An audit row as it is appended: answers of at most 1000 characters, no null category."""
     return table.withColumn("answer", F.left("answer", F.lit(1000))).withColumn("category", F.coalesce("category", F.lit("general")))
+
+
+def answer_logs(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What an answered question (user_id, role, query, category, answer, grounded, abstained, sources, confidence, ts)
+    leaves: its audit row with sources as JSON, counters of questions, and an open question where it abstained."""
+    rows = clipped(answers.withColumn("answer", F.coalesce("answer", F.lit("")))).withColumn("abstained", F.coalesce("abstained", F.lit(False)))
+    rows = rows.withColumn("grounded", F.coalesce("grounded", F.lit(0.0))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    audit = rows.select("ts", "user_id", "role", "query", "category", "answer", "grounded", "abstained", F.coalesce(F.to_json("sources"), F.lit("[]")).alias("sources"), "confidence")
+    return audit, counters(rows.select("query", "category", "ts")), rows.filter("abstained").select("ts", "user_id", "query", "category", "confidence", F.lit("open").alias("status"))
+
+
+def violation_rows(screened: DataFrame) -> DataFrame:
+    """One row for each violation of screened queries (username, role, ts, sanitised, violations), matches clipped to 200
+    characters and queries to 500."""
+    v = screened.select("ts", "username", "role", F.explode("violations").alias("v"), F.left(F.coalesce("sanitised", F.lit("")), F.lit(500)).alias("query"))
+    return v.select("ts", "username", "role", "v.layer", "v.rule", "v.severity", F.left(F.coalesce("v.matched", F.lit("")), F.lit(200)).alias("matched"), "query")

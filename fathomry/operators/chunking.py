@@ -63,3 +63,16 @@ def hybrid_windows(docs: DataFrame, size: int = HYBRID[0], overlap: int = HYBRID
     last = F.greatest(F.lit(0), F.ceil((F.size("toks") - size) / F.lit(float(step)))).cast("int")
     rest = plain.select("doc_id", "part", "toks", F.explode(F.sequence(F.lit(0), last)).alias("n")).select("doc_id", "part", "n", F.array_join(F.slice("toks", F.col("n") * step + 1, F.lit(size)), " ").alias("text"), F.lit(False).alias("is_critical"), F.lit(None).cast("string").alias("critical_title"))
     return blocks.unionByName(rest).withColumn("chunk_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "n")) - 1).drop("part", "n")
+
+
+def critical_first(hits: DataFrame, k: int) -> DataFrame:
+    """The k best of each query's hits (qid, doc_id, rank, is_critical), critical ones before others, else in their order;
+    hits should hold more than k to choose from."""
+    order = Window.partitionBy("qid").orderBy(F.coalesce("is_critical", F.lit(False)).desc(), "rank", "doc_id")
+    return hits.withColumn("new_rank", F.row_number().over(order)).filter(F.col("new_rank") <= k).withColumn("rank", F.col("new_rank")).drop("new_rank")
+
+
+def in_folder(path: Column, root: str) -> Column:
+    """Whether a normalised path is the critical folder or lies in it; without a folder, none does."""
+    root = root.rstrip("/")
+    return F.coalesce((path == root) | F.startswith(path, F.lit(root + "/")), F.lit(False)) if root else F.lit(False)

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import replies
 from ..functions import text as T
-from ..operators import audit, bm25, chunking, dense, evaluate, fusion, grounding, guard, intent, retrieve, vectors
+from ..operators import audit, bm25, catalog, chunking, dense, evaluate, fusion, grounding, guard, intent, retrieve, vectors
+from ..sources import files
 from ..sources.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -674,8 +676,8 @@ def doc_versions(spark, sf):
 
 @query("SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 5 <> 0)")
 def new_files_anti(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", "url")
-    return p.join(p.filter("page_id % 5 <> 0").select("page_id"), "page_id", "left_anti")
+    p = table(spark, sf, "pages").select("page_id", "url", F.col("page_id").alias("path"))
+    return files.new_files(p, p.filter("page_id % 5 <> 0")).select("page_id", "url")
 
 
 @query("SELECT r_name, n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
@@ -741,3 +743,86 @@ def ask_grounded(spark, sf):
     """Answers that quote the first passage, with the share of their cited sentences that the hits support."""
     out = retrieve.Engine(documents(spark, sf)).ask(benchmark(spark, sf), lambda prompt: " ".join(prompt.split("[1] ", 1)[-1].split()[:12]).rstrip(".") + " [1]. More of it [9].")
     return out.select("qid", F.round("confidence", 6).alias("confidence"), "abstained", "answer", F.round("grounded", 6).alias("grounded"), "badge")
+
+
+# --- catalog, logs and replies -----------------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS username, count(*) AS n FROM orders GROUP BY 1)
+SELECT coalesce(c_name, username) AS username, CASE WHEN s.n IS NULL THEN c_mktsegment ELSE 'seen' END AS display_name, CASE WHEN c_name IS NULL OR c_acctbal < 0 THEN 'pending' ELSE 'admin' END AS role, CASE WHEN c_name IS NULL THEN n ELSE 0 END AS first_login, coalesce(n, 0) AS last_login FROM customer FULL JOIN s ON c_name = username""")
+def user_logins(spark, sf):
+    """Customers as users, and those who ordered as logins."""
+    users = table(spark, sf, "customer").select(F.col("c_name").alias("username"), F.col("c_mktsegment").alias("display_name"), F.when(F.col("c_acctbal") < 0, "pending").otherwise("admin").alias("role"), F.lit(0).cast("long").alias("first_login"), F.lit(0).cast("long").alias("last_login"), F.lit(False).alias("is_revoked"), F.lit("").alias("promoted_by"))
+    seen = table(spark, sf, "orders").groupBy(F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("username")).agg(F.count(F.lit(1)).alias("last_login"))
+    seen = seen.select("username", F.lit("seen").alias("display_name"), F.lit("pending").alias("role"), F.col("last_login").alias("first_login"), "last_login", F.lit(False).alias("is_revoked"), F.lit("").alias("promoted_by"))
+    return catalog.signed_in(users, seen).drop("is_revoked", "promoted_by")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'de' OR source = 'src1' THEN 'superuser' WHEN lang = 'fr' OR source = 'src0' THEN 'admin' ELSE 'pending' END AS role FROM documents")
+def role_claims(spark, sf):
+    """Languages as roles of the realm, sources as roles of a client."""
+    role = catalog.role_from_claims(F.array("lang"), F.array(F.array("source")), ("de", "src1"), ("fr", "src0"))
+    return documents(spark, sf).select("doc_id", role.alias("role"))
+
+
+READERS = (("ann", ["src0", "src1", "src0"]), ("bo", ["src2"]), ("cy", []))
+
+
+@query("SELECT user_id, doc_id, source AS category FROM documents JOIN (VALUES ('ann', 'src0'), ('ann', 'src1'), ('bo', 'src2')) r(user_id, category) ON source = category")
+def category_visible(spark, sf):
+    readers = spark.createDataFrame(list(READERS), "user_id string, allowed_categories array<string>")
+    return catalog.visible(documents(spark, sf).select("doc_id", F.col("source").alias("category")), readers)
+
+
+@query("SELECT DISTINCT coalesce(source, 'General') AS category FROM documents UNION SELECT unnest(['Finance', 'General', 'Leave'])")
+def category_union(spark, sf):
+    return catalog.categories(documents(spark, sf).select(F.col("source").alias("category")), ("Finance", "General", "Leave"))
+
+
+@query("SELECT page_id FROM pages WHERE regexp_extract(regexp_replace(url, '[?#].*', ''), '[^/]*$') IN ('10', '231', '925')")
+def hits_in_files(spark, sf):
+    """Pages whose file name is that of an allowed path."""
+    allowed = spark.createDataFrame([("handbook/10",), ("231",), ("a/b/925",), ("other/925",)], "path string")
+    return catalog.in_files(table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "[?#].*", "").alias("file")), allowed).select("page_id")
+
+
+def _answered(spark, sf) -> DataFrame:
+    """Turns of assistants as answers to the turn before."""
+    c = table(spark, sf, "conversations")
+    asked = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
+    said = c.filter("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 100 + F.col("turn"))
+    category = F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("c"), F.col("conv_id") % 3))
+    return said.select(F.concat(F.lit("u"), F.col("conv_id")).alias("user_id"), "role", "query", category.alias("category"), F.col("text").alias("answer"), F.lit(None).cast("double").alias("grounded"), (F.length("text") % 2 == 0).alias("abstained"), F.array("role").alias("sources"), F.lit(0.5).alias("confidence"), at.alias("ts"))
+
+
+_ANSWERED_SQL = "a AS (SELECT 'u' || c.conv_id AS user_id, c.turn, c.text AS answer, q.text AS query, CASE WHEN c.conv_id % 3 > 0 THEN 'c' || (c.conv_id % 3) ELSE 'general' END AS category, coalesce(length(c.text) % 2 = 0, false) AS abstained, c.conv_id AS conv_id FROM conversations c JOIN conversations q ON q.conv_id = c.conv_id AND q.turn = c.turn - 1 WHERE c.role = 'assistant')"
+
+
+@query(f"""WITH {_ANSWERED_SQL} SELECT user_id, 1700000000 + conv_id * 100 + turn AS at, category, md5(left(coalesce(answer, ''), 1000)) AS digest, abstained, '["assistant"]' AS sources, 0e0 AS grounded FROM a""")
+def answer_audit(spark, sf):
+    rows = audit.answer_logs(_answered(spark, sf))[0]
+    return rows.select("user_id", F.unix_seconds("ts").alias("at"), "category", F.md5("answer").alias("digest"), "abstained", "sources", "grounded")
+
+
+@query(f"""WITH {_ANSWERED_SQL} SELECT user_id, category, count(*) AS n FROM a WHERE abstained GROUP BY 1, 2""")
+def answer_open(spark, sf):
+    return audit.answer_logs(_answered(spark, sf))[2].filter("status = 'open'").groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_bm25_sql()}, h AS (SELECT qid, doc_id, rank, lang = 'de' AS crit FROM rk JOIN documents USING (doc_id) WHERE rank <= 12)
+SELECT qid, doc_id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coalesce(crit, false) DESC, rank) AS r FROM h) WHERE r <= 3""")
+def critical_rerank(spark, sf):
+    """The best three of twelve hits, German texts taken as the critical ones."""
+    d = documents(spark, sf)
+    hits = bm25.search(d, benchmark(spark, sf), 12).select("qid", "doc_id", "rank").join(d.select("doc_id", (F.col("lang") == "de").alias("is_critical")), "doc_id")
+    return chunking.critical_first(hits, 3).select("qid", "doc_id", "rank")
+
+
+@query("""WITH f AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS last FROM conversations GROUP BY 1)
+SELECT c.conv_id AS reply_id, md5(coalesce(string_agg(text, '' ORDER BY turn), '')) AS digest FROM conversations c JOIN f USING (conv_id) WHERE last IS NULL OR turn <= last GROUP BY 1""")
+def reply_stream(spark, sf):
+    """Turns as lines of a reply that ends with the first assistant."""
+    c = table(spark, sf, "conversations")
+    line = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"), (F.col("role") == "assistant").alias("done")))
+    return replies.from_ndjson(c.select(F.col("conv_id").alias("reply_id"), F.col("turn").alias("line_no"), line.alias("line"))).select("reply_id", F.md5("text").alias("digest"))

@@ -41,3 +41,18 @@ def merge_counters(asked: DataFrame, read, write, checkpoint: str) -> DataStream
         write(new if old is None else audit.merge_counters(old, new), number)
 
     return asked.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def log_answers(answers: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Write what each batch of answers leaves under path: audit, asked and open, one folder for each batch.
+
+    A batch that runs again overwrites its own folders. Counters of all questions are those of the batches, added up by
+    audit.merge_counters."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for name, rows in zip(("audit", "asked", "open"), audit.answer_logs(batch), strict=True):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.unpersist()
+
+    return answers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -124,7 +124,15 @@ def test_plan_uses_every_length_once(lengths):
         for v in own:
             used[v] += n
     assert (used == histogram).all()
-    assert sum(n for _, n in groups) <= max(1, 1.25 * -(-sum(lengths) // 32) + 1) or not lengths
+    # the sum of lengths alone is no bound that can be met: 16, 17, 17, 17, 17 need five sequences
+    room: list[int] = []
+    for v in sorted(lengths, reverse=True):
+        at = next((i for i, r in enumerate(room) if r >= v), None)
+        if at is None:
+            room.append(32 - v)
+        else:
+            room[at] -= v
+    assert 9 * sum(n for _, n in groups) <= 11 * len(room) + 6
 
 
 def check_packing(rows, capacity):

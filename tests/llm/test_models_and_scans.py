@@ -107,6 +107,63 @@ def test_rarer_words_get_the_class_an_exchange_step_gives(spark):
         assert found == 2 + int(np.argmax(moved))
 
 
+def test_words_beyond_the_head_are_classed_and_scored_alike(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["the", "a", "cat", "dog", f"w{rng.randint(0, 30)}", f"v{rng.randint(0, 30)},", f"x{rng.randint(0, 500)}"]) for _ in range(rng.randint(0, 40))) for _ in range(90)]
+    docs = spark.createDataFrame([*enumerate(texts), (500, None), (501, "w1 w1 w2 unseen1 unseen2. w3 x1")], DOCS)
+    trained = docs.filter("doc_id < 70")
+    got = {}
+    for head in (2, 10_000):
+        scratch = Scratch(spark, "t")
+        m, words = class_model.train(trained, scratch, clustered=4, classes=3, head=head)
+        got[head] = {r.doc_id: r for r in class_model.score(docs, m, words, scratch).collect()}
+        if head == 2:
+            assert len(m.head) == 2
+            model, table = m, words
+    for i, r in got[2].items():
+        assert (r.n_tokens, r.n_known) == (got[10_000][i].n_tokens, got[10_000][i].n_known)
+        assert math.isclose(r.base_score, got[10_000][i].base_score, abs_tol=1e-9) and math.isclose(r.score, got[10_000][i].score, abs_tol=1e-9)
+    # the same by plain Python, from each word's class
+    c = collections.Counter(w for t in texts[:70] for w in plain_words(t))
+    of = {r.h: r for r in table.collect()}
+    assert len(of) == len(c)
+
+    def found(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        split = class_model.split(raw, np.array([0, len(raw)]))
+        return of.get(int(split.hashes.view(np.int64)[0])), int(class_model.kinds_of(split)[0])
+
+    known = {w: found(w) for w in {w for t in texts for w in plain_words(t)} | set(plain_words("unseen1 unseen2. w1 w2 w3 x1"))}
+    for w, n in c.items():
+        row, kind = known[w]
+        assert row.c == n and row.kind == kind and (row["class"] >= class_model.KINDS if n > 1 else row["class"] == kind)
+    group = lambda w: known[w][0]["class"] if known[w][0] else known[w][1]
+    chain = lambda t: [0, *(group(w) for w in plain_words(t)), 0]
+    k = len(model.transitions)
+    pairs, inside = np.zeros((k, k)), np.zeros(k)
+    for t in texts[:70]:
+        np.add.at(pairs, (chain(t)[:-1], chain(t)[1:]), 1)
+    for w, n in c.items():
+        inside[group(w)] += n
+    frequency = (pairs.sum(0) + 1) / (pairs.sum() + k)
+    weight = class_model.TRANSITION_WEIGHT
+    transitions = np.log10((pairs + weight * frequency) / (pairs.sum(1, keepdims=True) + weight))
+    assert np.allclose(transitions, model.transitions)
+
+    def emission(w):
+        kind = known[w][1]
+        if group(w) >= class_model.KINDS:
+            return math.log10(c[w] / inside[group(w)])
+        once = [x for x in c if known[x][1] == kind and c[x] == 1]
+        twice = sum(known[x][1] == kind and c[x] == 2 for x in c)
+        d = min(max(len(once) / (len(once) + 2 * twice), 0.1), 0.9) if once or twice else 0.5
+        return math.log10((1 - d if w in c else d) * (1 / len(once) if w in c else 1)) if once else 0.0
+
+    for i, t in [*enumerate(texts), (500, ""), (501, "w1 w1 w2 unseen1 unseen2. w3 x1")]:
+        row = chain(t)
+        assert math.isclose(got[2][i].score, sum(transitions[a, b] for a, b in zip(row, row[1:])) + sum(map(emission, plain_words(t))), abs_tol=1e-6), (i, t)
+
+
 def test_empty_tables_score_nothing(spark):
     docs = spark.createDataFrame([], DOCS)
     scratch = Scratch(spark, "t")

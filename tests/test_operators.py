@@ -26,6 +26,11 @@ def test_tokens_stems_and_sentences(spark):
     assert d.select(T.citations(F.lit("a [1, 3] b [2]")).alias("c")).first().c == [1, 3, 2]
 
 
+def test_sentences_keep_digits_at_their_ends(spark):
+    d = frame(spark, [(1, " 007 rose by 10. 1 fell to 0.  Is it 21?  2 of 2 \x0b 3.\x0bNo cut. ")])
+    assert d.select(T.sentences("text").alias("s")).first().s == ["007 rose by 10.", "1 fell to 0.", "Is it 21?", "2 of 2 \x0b 3.\x0bNo cut."]
+
+
 def test_hash_vectors_are_prefixes_of_longer_ones():
     own = hashing.vector("word")
     assert len(own) == 64 and own[:16] == hashing.vector("word", 0, 16) and own != hashing.vector("word", 1)

@@ -38,9 +38,11 @@ def known_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     asked = terms.select("term").distinct().withColumn("stem", light_stem("term")).withColumn("prefix", prefix(F.col("term")))
     vocab = vocabulary.select("term").distinct()
     lengths = small(asked.filter("prefix is not null").select(F.length("prefix").alias("n")).distinct())
-    starts = vocab.join(lengths, F.length("term") >= F.col("n")).select(F.left("term", F.col("n")).alias("prefix")).distinct()
-    hit = lambda on: asked.join(vocab.withColumnRenamed("term", on), on, "left_semi").select("term")
-    found = hit("term").union(hit("stem")).union(asked.join(starts, "prefix", "left_semi").select("term")).distinct()
+    # the vocabulary is the large side: it is met by what is asked, and only what they share goes on
+    starts = vocab.join(lengths, F.length("term") >= F.col("n")).select(F.left("term", F.col("n")).alias("prefix"))
+    met = lambda words, on: words.join(small(asked.select(on).filter(F.col(on).isNotNull()).distinct()), on, "left_semi").distinct()
+    hit = lambda words, on: asked.join(small(met(words, on)), on, "left_semi").select("term")
+    found = hit(vocab, "term").union(hit(vocab.withColumnRenamed("term", "stem"), "stem")).union(hit(starts, "prefix")).distinct()
     return asked.select("term").join(found.withColumn("known", F.lit(True)), "term", "left").select("term", F.coalesce("known", F.lit(False)).alias("known"))
 
 
@@ -49,7 +51,8 @@ def coverage(queries: DataFrame, hits: DataFrame, frequency: DataFrame) -> DataF
     are, by stem or by prefix; a fifth of it when a word of five letters or more is unknown to the corpus; 0.5 without
     content words."""
     asked = queries.select("qid", F.explode(F.array_distinct(content("text"))).alias("term"))
-    weighed = asked.join(frequency, "term", "left").withColumn("idf", F.log(1.0 + 1.0 / (1.0 + F.coalesce("cf", F.lit(0)))))
+    own = frequency.join(small(asked.select("term").distinct()), "term", "left_semi")
+    weighed = asked.join(own, "term", "left").withColumn("idf", F.log(1.0 + 1.0 / (1.0 + F.coalesce("cf", F.lit(0)))))
     top = hits.filter("rank <= 3").select("qid", F.explode(tokens("snippet")).alias("w")).groupBy("qid").agg(F.collect_set("w").alias("seen"))
     both = weighed.join(top, "qid", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
     stem = F.coalesce(light_stem("term"), F.col("term"))

@@ -89,3 +89,17 @@ def test_known_words_do_not_shuffle_the_vocabulary(spark):
     asked = spark.createDataFrame([("word7",), ("policing",), ("walking",), ("zzz",), (None,)], "term string")
     got = grounding.known_terms(asked, vocabulary)
     assert {r.term: r.known for r in got.collect() if r.term} == {"word7": True, "policing": True, "walking": True, "zzz": False}
+
+
+def test_dense_search_equals_every_product(spark, monkeypatch):
+    from fathomry.operators import dense
+
+    rows = [(i, [float((i * 7 + j * 3) % 5 - 2) for j in range(8)]) for i in range(60)] + [(60, [0.0] * 8)]  # with many ties
+    v = dense.normalised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    q = v.filter("doc_id % 9 = 0").selectExpr("doc_id AS qid", "v AS q")
+    expected = bm25.top(dense.cosine_scores(v, q), 7)
+    same(dense.search(v, q, 7), expected, ["qid", "doc_id", "score", "rank"])
+    monkeypatch.setattr(dense, "CELLS", 1)
+    monkeypatch.setattr(dense, "AT_ONCE", 200)
+    same(dense.search(v, q, 7), expected, ["qid", "doc_id", "score", "rank"])
+    assert "NestedLoop" not in dense.search(v, q, 7)._jdf.queryExecution().executedPlan().toString()

@@ -66,13 +66,11 @@ def coverage(queries: DataFrame, hits: DataFrame, frequency: DataFrame) -> DataF
 def alignment(queries: DataFrame, hits: DataFrame, memory: vectors.Memory) -> DataFrame:
     """qid, sim: the largest cosine of the query's vector and those of the three best snippets."""
     asked = vectors.encode_queries(queries.select("qid", content("text").alias("toks")), memory)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     longer = F.filter(tokens("snippet"), lambda t: F.length(t) > 2)
     chunks = vectors.encode_queries(hits.filter("rank <= 3").select(F.struct("qid", "rank").alias("qid"), longer.alias("toks")), memory)
-    chunks = chunks.select(F.col("qid.qid").alias("qid"), F.col("qid.rank").alias("rank"), "pos", F.col("val").alias("c"))
-    qn = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("qn"))
-    cn = chunks.groupBy("qid", "rank").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("cn"))
-    dots = asked.join(chunks, ["qid", "pos"]).groupBy("qid", "rank").agg(F.sum(F.col("val") * F.col("c")).alias("dot"))
-    return dots.join(qn, "qid").join(cn, ["qid", "rank"]).groupBy("qid").agg(F.max(F.col("dot") / (F.col("qn") * F.col("cn"))).alias("sim"))
+    both = chunks.select(F.col("qid.qid").alias("qid"), F.col("v").alias("c")).join(small(asked), "qid")
+    return both.groupBy("qid").agg(F.max(dot("v", "c") / F.sqrt(dot("v", "v") * dot("c", "c"))).alias("sim"))
 
 
 def confidence(queries: DataFrame, hits: DataFrame, memory: vectors.Memory) -> DataFrame:

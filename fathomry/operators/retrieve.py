@@ -20,17 +20,15 @@ LEAST_SCORE = 0.3
 class Engine:
     """Relations of a corpus (doc_id, text; each row one chunk) and, where there are some, its vectors (doc_id, v).
 
-    Postings, term statistics, word memory and what searches use more than once are tables in the engine's workspace,
-    so that every plan starts from tables and texts are cut into words once; close() removes them."""
+    The vocabulary, word memory and what searches use more than once are tables in the engine's workspace, so that every
+    plan is short and starts from tables; each ranking reads the texts once. close() removes the tables."""
 
     def __init__(self, docs: DataFrame, embeddings: DataFrame | None = None):
         self.docs, self.embeddings = docs, embeddings
         self.tables = Workspace(docs.sparkSession, "engine")
-        self.posts, stats = bm25.index(docs)
-        self.stats = self.tables.save(stats)
-        self.terms = self.tables.save(bm25.term_stats(self.posts))
-        frequency, context = vectors.learn(docs)
-        self.memory = vectors.Memory(self.tables.save(frequency), self.tables.save(context))
+        self.stats = self.tables.save(docs.agg(F.count(F.lit(1)).alias("n_docs")))
+        self.terms = self.tables.save(bm25.vocabulary(docs))
+        self.memory = vectors.learn(docs)
 
     def close(self) -> None:
         self.tables.close()
@@ -40,7 +38,7 @@ class Engine:
         return self.terms.crossJoin(F.broadcast(n)).select("term", bm25.idf(F.col("n_docs").cast("double"), F.col("df").cast("double")).alias("idf"))
 
     def words(self, queries: DataFrame, depth: int) -> DataFrame:
-        return bm25.top(bm25.scores(self.posts, self.stats, bm25.query_terms(queries)), depth)
+        return self.tables.save(bm25.best(self.docs, queries, {"words": depth}).drop("run"))
 
     def first_pass(self, queries: DataFrame, embedded: DataFrame | None = None) -> DataFrame:
         """qid, doc_id, rank: the best FIRST by words, fused with those by vectors where queries have vectors (qid, q)."""
@@ -52,7 +50,7 @@ class Engine:
 
     def expanded(self, queries: DataFrame, first: DataFrame) -> DataFrame:
         """corpus, qid, doc_id, score: BM25 of the query and, at EXPAND, of the query with its expansion terms."""
-        near = first.filter(F.col("rank") <= FEEDBACK).join(self.docs, "doc_id").select("qid", tokens("text").alias("toks"))
+        near = self.docs.select("doc_id", "text").join(bm25.small(first.filter(F.col("rank") <= FEEDBACK)), "doc_id").select("qid", tokens("text").alias("toks"))
         asked = queries.select("qid", tokens("text").alias("toks"))
         terms = vectors.expansion_terms(self.tables.save(asked), self.tables.save(near), self.memory, self.idf()).groupBy("qid").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("more"))
         wider = queries.join(self.tables.save(terms), "qid").select("qid", F.concat_ws(" ", "text", "more").alias("text"))

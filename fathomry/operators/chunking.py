@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
-from ..functions.text import words
+from ..functions.text import word_list, words
+from . import bm25
 
 CORE, HYBRID = (64, 12), (120, 20)
 OPEN = r"\[\[\s*critical\s*:\s*([^\]\n]+?)\s*\]\]"
@@ -25,6 +31,39 @@ def windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return each.select("doc_id", "chunk_no", (F.col("chunk_no") * step).alias("begin"), F.size(own).alias("n_tokens"), own.alias("tokens"))
 
 
+def best_chunks(docs: DataFrame, queries: DataFrame, size: int, overlap: int) -> DataFrame:
+    """qid, doc_id, chunk_no, score for every query (qid, text) and document (doc_id, text) with words: its first window
+    with most distinct ASCII words of the query. A task does all queries of its documents, so only the result is large."""
+    step = size - overlap
+    asked = queries.select("qid", "text").toArrow()
+    qids, own = asked.column("qid").combine_chunks(), [{w.lower() for w in re.findall("[a-zA-Z0-9]+", t or "")} for t in asked.column("text").to_pylist()]
+    place = {w: i for i, w in enumerate(sorted(set().union(*own)))}
+    side = bm25._Asked([(place[w], i) for i, words_of in enumerate(own) for w in words_of], len(own))
+    schema = queries.select("qid").schema
+    for field in docs.select("doc_id").schema:
+        schema = schema.add(field)
+    schema = schema.add("chunk_no", IntegerType()).add("score", LongType())
+
+    def find(batches):
+        for batch in batches:
+            for doc, text in enumerate(batch.column("text").to_pylist()):
+                if not (toks := word_list(text or "")):
+                    continue
+                n = max(0, -(-(len(toks) - size) // step)) + 1
+                rows, terms = [], []
+                for i in range(n):
+                    found = [place[w] for w in set(toks[i * step : i * step + size]) if w in place]
+                    rows += [i] * len(found)
+                    terms += found
+                for block in range(len(side.blocks)):
+                    width = min(side.width, len(own) - block * side.width)
+                    met = side.sums(block, np.array(rows, np.int64), np.array(terms, np.int64), np.ones(len(rows)), n, width)
+                    at = met.argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([qids.slice(block * side.width, width), batch.column("doc_id").take(pa.array([doc] * width)), pa.array(at.astype(np.int32)), pa.array(met.max(axis=1).astype(np.int64))], schema.names)
+
+    return bm25.spread(docs.select("doc_id", "text")).mapInArrow(find, schema)
+
+
 def critical_blocks(text: Column) -> Column:
     """Array of title and body of marked blocks; a block without a close mark is not one."""
     found = F.regexp_extract_all(text, F.lit(f"(?is)({OPEN}.*?{CLOSE})"), F.lit(1))

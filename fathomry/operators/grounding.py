@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import CONTEXT_NNZ, NNZ, PAIR_NNZ, PAIR_SPACE, STEM_NNZ, STEM_SPACE, vector
-from ..functions.text import MIN_STEM, SHORT_PAIR, SUFFIXES, citation_only, citations, light_stem, sentences, tokens, with_stems
+from ..functions.text import MIN_STEM, SHORT_PAIR, SUFFIXES, citation_only, citations, light_stem, sentences, token_list, tokens, with_stems
 from . import vectors
 from .bm25 import small
 
@@ -88,10 +88,17 @@ def confidence(queries: DataFrame, hits: DataFrame, memory: vectors.Memory) -> D
 
 def lexical_overlap(claim: Column | str, chunk: Column | str) -> Column:
     """Share of the claim's longer words that the chunk has, each counted ln(1 + its length)."""
-    own = F.filter(tokens(claim), lambda t: F.length(t) > 2)
-    weight = lambda a: F.aggregate(F.transform(a, lambda t: F.log1p(F.length(t).cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    seen = tokens(chunk)
-    return F.when(F.size(own) > 0, weight(F.filter(own, lambda t: F.array_contains(seen, t))) / weight(own)).otherwise(0.0)
+
+    @F.arrow_udf("double")
+    def share(claim: pa.Array, chunk: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(claim.to_pylist(), chunk.to_pylist(), strict=True):
+            own, seen = [t for t in token_list(a or "") if len(t) > 2], set(token_list(b or ""))
+            total = sum(math.log1p(len(t)) for t in own)
+            out.append(sum(math.log1p(len(t)) for t in own if t in seen) / total if own else 0.0)
+        return pa.array(out, pa.float64())
+
+    return share(claim, chunk)
 
 
 _WORD = re.compile("[a-zA-Z0-9]+|[ऀ-ॿ]+")
